@@ -31,6 +31,7 @@ PER_CLASS = 4000
 MIN_WORDS = 50
 MAX_RULES, MAX_CONDITIONS = 12, 4
 MIN_PRECISION = 0.98
+MIN_COVERED = 3
 CUTS = 48
 
 SYMBOLS = "#*$%&|<>"
@@ -140,14 +141,16 @@ def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray) -> lis
     inside = live.copy()
     while len(rule) < MAX_CONDITIONS and (inside & ~bad).any():
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
-        best, best_gain = None, 1e-9
+        best, best_gain = None, (False, 1e-9)
         for feature, values in rows.items():
             for cut in _cuts(values[inside], bad[inside]):
                 for at_least in (True, False):
                     c = Condition(feature, at_least, float(cut))
                     hit = inside & c(rows)
                     p, n = (hit & bad).sum(), (hit & ~bad).sum()
-                    gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else 0
+                    gain = (False, 0.0)
+                    if p:  # a condition that is precise by itself goes before any that is not
+                        gain = (p >= MIN_COVERED and p / (p + n) >= MIN_PRECISION, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))))
                     if gain > best_gain:
                         best, best_gain = c, gain
         if best is None:
@@ -157,12 +160,15 @@ def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray) -> lis
     return rule
 
 
-def _prune(rule: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray) -> list[Condition]:
-    """The shortest prefix that is worth most on the rows kept apart."""
-    best, worth = rule, -2.0
+def _prune(rule: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray, apart: np.ndarray) -> list[Condition]:
+    """Of the prefixes that are precise enough on all rows, the one worth most on those kept apart, then the shortest."""
+    best, worth = [], -2.0
     for k in range(len(rule), 0, -1):
         hit = _covered(rule[:k], rows) & live
         p, n = (hit & bad).sum(), (hit & ~bad).sum()
+        if p < MIN_COVERED or p / (p + n) < MIN_PRECISION:
+            continue
+        p, n = (hit & apart & bad).sum(), (hit & apart & ~bad).sum()
         value = (p - n) / (p + n) if p + n else -1.0
         if value >= worth:
             best, worth = rule[:k], value
@@ -178,14 +184,10 @@ def learn(rows: dict[str, np.ndarray], quality: np.ndarray, seed: int = 5) -> li
     apart = np.random.default_rng(seed).random(len(bad)) < 1 / 3
     live = np.ones(len(bad), bool)
     while len(rules) < MAX_RULES and (live & bad & ~apart).any():
-        rule = _grow(rows, bad, live & ~apart)
+        rule = _prune(_grow(rows, bad, live & ~apart), rows, bad, live, apart)
         if not rule:
             break
-        rule = _prune(rule, rows, bad, live & apart)
         hit = _covered(rule, rows) & live
-        p, n = (hit & bad).sum(), (hit & ~bad).sum()
-        if p < 3 or p / (p + n) < MIN_PRECISION:
-            break
         rules.append(rule)
         live &= ~hit
     return rules
