@@ -136,9 +136,11 @@ def _cuts(values: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return (v[change] + v[change + 1]) / 2
 
 
-def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray) -> list[Condition]:
+def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray, apart: np.ndarray) -> list[Condition]:
+    """Grown by gain on the rows not kept apart; those kept apart have a say on what is precise."""
     rule: list[Condition] = []
-    inside = live.copy()
+    whole = live.copy()
+    inside = live & ~apart
     while len(rule) < MAX_CONDITIONS and (inside & ~bad).any():
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
         best, best_gain = None, (False, 1e-9)
@@ -150,13 +152,16 @@ def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray) -> lis
                     p, n = (hit & bad).sum(), (hit & ~bad).sum()
                     gain = (False, 0.0)
                     if p:  # a condition that is precise by itself goes before any that is not
-                        gain = (p >= MIN_COVERED and p / (p + n) >= MIN_PRECISION, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))))
+                        every = whole & c(rows)
+                        pe, ne = (every & bad).sum(), (every & ~bad).sum()
+                        gain = (bool(pe >= MIN_COVERED and pe / (pe + ne) >= MIN_PRECISION), p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))))
                     if gain > best_gain:
                         best, best_gain = c, gain
         if best is None:
             break
         rule.append(best)
         inside &= best(rows)
+        whole &= best(rows)
     return rule
 
 
@@ -184,7 +189,7 @@ def learn(rows: dict[str, np.ndarray], quality: np.ndarray, seed: int = 5) -> li
     apart = np.random.default_rng(seed).random(len(bad)) < 1 / 3
     live = np.ones(len(bad), bool)
     while len(rules) < MAX_RULES and (live & bad & ~apart).any():
-        rule = _prune(_grow(rows, bad, live & ~apart), rows, bad, live, apart)
+        rule = _prune(_grow(rows, bad, live, apart), rows, bad, live, apart)
         if not rule:
             break
         hit = _covered(rule, rows) & live
