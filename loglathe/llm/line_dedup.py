@@ -68,8 +68,9 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, counts: bool = False) -> D
     """The documents without later occurrences. ``counts`` adds n_lines and n_removed (long)."""
     th, j_id, j_th, js, kept = fresh(docs, "th", "j_id", "j_th", "js", "kept")
     later = materialise(later_windows(docs, width).select(F.col("doc_id").alias(j_id), F.col("th").alias(j_th), F.col("js").alias(js)), "line-later")
+    # Always by sorted merge: the texts move once, in proportion to the input at every size.
     d = docs.withColumn(th, F.xxhash64(F.col("text")))
-    d = d.join(later, F.col("doc_id").eqNullSafe(q(j_id)) & (q(th) == q(j_th)), "left")
+    d = d.join(later.hint("merge"), F.col("doc_id").eqNullSafe(q(j_id)) & (q(th) == q(j_th)), "left")
     d = d.withColumn(kept, F.when(q(js).isNotNull(), _without(_lines(F.col("text")), q(js), width)))
     text = F.when(q(js).isNull(), F.col("text")).otherwise(F.array_join(q(kept), "\n"))
     cols = []
