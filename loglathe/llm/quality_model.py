@@ -41,7 +41,7 @@ MARKERS = (b"\x00same", b"\x00again")
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(feature, word number); words and n-grams share the buckets."""
-    grams, owner = char_ngrams(words, SIZES, BUCKETS)
+    grams, owner, _ = char_ngrams(words, SIZES, BUCKETS)
     return np.concatenate([word_hashes(words, BUCKETS), grams]), np.concatenate([np.arange(len(words)), owner])
 
 

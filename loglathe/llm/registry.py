@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_model, quality_rules
+from . import line_dedup, mixing, quality_model, quality_rules, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,7 +29,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
 
 OP9_SQL = """
 WITH d AS (

@@ -15,15 +15,15 @@ def word_hashes(words: list[bytes], buckets: int) -> np.ndarray:
     return np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
 
 
-def char_ngrams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word number) of every character n-gram; a word's ends count as a character."""
+def char_ngrams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word number, at the front?) of every character n-gram; a word's ends count as a character."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     text = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     edge = points == 32
     owner = np.cumsum(edge) - 1
-    grams, owners = [], []
+    grams, owners, fronts = [], [], []
     with np.errstate(over="ignore"):
         for n in sizes:
             m = len(points) - n + 1
@@ -40,4 +40,5 @@ def char_ngrams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tup
             inside &= owner[:m] < len(words)
             grams.append(mix64(h[inside]) % np.uint64(buckets))
             owners.append(owner[:m][inside])
-    return np.concatenate(grams).astype(np.int64), np.concatenate(owners)
+            fronts.append(edge[:m][inside])
+    return np.concatenate(grams).astype(np.int64), np.concatenate(owners), np.concatenate(fronts)
