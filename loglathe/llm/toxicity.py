@@ -358,7 +358,7 @@ def scorer(net: Network | None):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _Scorer(net) if net else None
         for texts in parts:
-            yield pd.Series(own.score(list(texts)) if own else np.zeros(len(texts)))
+            yield pd.Series(own.score(list(texts)) if net else np.zeros(len(texts)))
 
     return score
 
