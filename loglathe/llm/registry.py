@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_model, quality_rules, toxicity
+from . import archives, line_dedup, mixing, packing, quality_model, quality_rules, toxicity
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.convert(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,7 +37,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
 
 OP9_SQL = """
 WITH d AS (
@@ -88,4 +96,17 @@ SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-ORACLES = {"op9_mix_sources": OP9_SQL, "op10_line_dedup": OP10_SQL}
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS best FROM p GROUP BY html),
+d AS (SELECT p.page_id, strlen(p.html) AS payload_bytes, g.best, unhex(sha1(p.html)) AS raw FROM p JOIN g USING (html)),
+b AS (SELECT *, hex(raw) AS h FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(h || '0', 1 + (5 * k) // 4, 3))::BIGINT >> (7 - (5 * k) % 4)) & 31)::INTEGER, 1) for k in range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < best THEN best END AS refers_to
+FROM b
+"""
+
+ORACLES = {"op6_arc_to_warc": OP6_SQL, "op9_mix_sources": OP9_SQL, "op10_line_dedup": OP10_SQL}
