@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, line_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from . import archives, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
 
 OP9_SQL = """
 WITH d AS (
