@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, toxicity
+from . import archives, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, topk, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op4_top_k, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
 
 OP9_SQL = """
 WITH d AS (
@@ -113,4 +117,17 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
-ORACLES = {"op6_arc_to_warc": OP6_SQL, "op9_mix_sources": OP9_SQL, "op10_line_dedup": OP10_SQL}
+OP4_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLES = {"op4_top_k": OP4_SQL, "op6_arc_to_warc": OP6_SQL, "op9_mix_sources": OP9_SQL, "op10_line_dedup": OP10_SQL}
