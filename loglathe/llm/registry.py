@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, topk, toxicity
+from . import archives, licenses, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, topk, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op4_top_k, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_license_scan, op4_top_k, op5_pack, op6_arc_to_warc, op7_quality_rules, op8_quality_model, op9_mix_sources, op10_line_dedup)}
 
 OP9_SQL = """
 WITH d AS (
