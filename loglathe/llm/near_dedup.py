@@ -2,17 +2,18 @@
 
 1. Each whole text becomes its set of distinct word shingles (64-bit hashes),
    and that set a fingerprint, ``BANDS`` bands of ``ROWS`` MinHash samples and
-   an odd sketch: the samples folded into a bitmap of parities. The number of
+   an odd sketch: one-permutation samples folded into a bitmap of parities. The number of
    bits in which two sketches differ tells how many samples do.
 2. Texts of equal sets are one class, named by its least doc_id.
-3. Classes that share a band meet in its bucket. A bucket's pairs are never
-   all emitted: members are held against one head at first, and only where
-   they are not yet in one component. Of the candidates, those whose sketches
-   differ too much for the wanted similarity go, by a margin of six standard
-   deviations; the rest is confirmed on the full sets.
+3. Classes that share a band meet in its bucket. A round holds each class
+   against one head only: of its buckets' heads in another component the most
+   popular, which is most often what the others were made from. Candidates
+   whose sizes or sketches rule the similarity out go, by a margin of six
+   standard deviations; the rest is confirmed on the full sets.
 4. Confirmed links merge components, and rounds with other heads follow; last,
-   whatever is still apart in a bucket is held against all its members, so no
-   link between classes that share a bucket is lost. Two sets of similarity
+   whatever is still apart in a bucket is held against all its members, by
+   sketch inside the join, so no link between classes that share a bucket is
+   lost. Two sets of similarity
    0.8 share none with probability (1 - 0.8^4)^32, below 1e-7.
 
 Sets move through a sort, not into groups: a head's set comes first, its
@@ -41,7 +42,12 @@ from .components import components
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 512
+#: One-permutation MinHash: the least hash of each bin is a sample; an odd sketch folds them.
+BINS, SKETCH_BITS = 512, 2048
+#: Standard deviations of the sketch's estimate that a candidate may lie below the wanted similarity.
+SIGMAS = 6
+#: Rounds against one head a class before the rest of a bucket is held against each other.
+HEADS = ("popular", "popular", "other", "third")
 #: Parts that the members of one head are dealt to.
 SALTS = 64
 
@@ -50,18 +56,9 @@ _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _rng.integers(0, 1 << 63, _K, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SLOT = mix64(np.arange(1, _K + 1, dtype=np.uint64))
 _BAND = mix64(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 
 
-def most_differing(percent: int = PERCENT) -> int:
-    """Sketch bits that differ at most for pairs of that similarity, but for six standard deviations' odds."""
-    j = percent / 100
-    toggles = 2 * (_K * (1 - j) + 6 * np.sqrt(_K * j * (1 - j)))
-    mean = SKETCH_BITS / 2 * (1 - np.exp(-2 * toggles / SKETCH_BITS))
-    return int(mean + 6 * np.sqrt(mean / 2))
-
-
 class Hashes(WordTable):
     """Word -> 64-bit hash, kept in an array."""
 
@@ -116,13 +113,15 @@ def bands(samples: np.ndarray) -> np.ndarray:
         return mix64((samples.reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(1) + _BAND).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parities of the samples that fall on each bit, as 64-bit words."""
-    at = (mix64(samples ^ _SLOT) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of samples of a sorted set, and their parities on each bit as 64-bit words."""
+    bins = shingles >> np.uint64(64 - BINS.bit_length() + 1)
+    samples = shingles[np.append(True, bins[1:] != bins[:-1])]
+    at = (mix64(samples ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return len(samples), np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-_PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+_PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("samples", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def profile_udf(width: int):
@@ -134,14 +133,13 @@ def profile_udf(width: int):
             for text in texts:
                 s = words.shingles(text, width)
                 if not len(s):
-                    out.append((0, 0, 0, [], []))
+                    out.append((0, 0, 0, [], 0, []))
                     continue
                 with np.errstate(over="ignore"):
                     f1 = mix64(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)
                     f2 = np.bitwise_xor.reduce(mix64(s + np.uint64(0x27D4EB2F))).view(np.int64)
-                m = signature(s)
-                out.append((len(s), int(f1), int(f2), bands(m), odd_sketch(m)))
-            yield pd.DataFrame(out, columns=["n", "f1", "f2", "bands", "sketch"])
+                out.append((len(s), int(f1), int(f2), bands(signature(s)), *odd_sketch(s)))
+            yield pd.DataFrame(out, columns=["n", "f1", "f2", "bands", "samples", "sketch"])
 
     return profile
 
@@ -189,11 +187,25 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(_confirm(percent), "x long, y long")
 
 
-def _differ(a: Column, b: Column) -> Column:
-    out = F.lit(0)
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches of two classes (columns n_, samples_, sketch_ with these endings) let them be similar.
+
+    Of a union of N shingles U = BINS (1 - exp(-N / BINS)) bins hold any, and a
+    bin's samples agree with probability J. What the samples say varies less
+    the more of the set they are: by U J (1 - J) (1 - U / N).
+    """
+    j = percent / 100
+    na, nb, ca, cb = (F.col(f"{c}_{x}").cast("double") for c in ("n", "samples") for x in (a, b))
+    union = (na + nb) / (1 + j)
+    held = (F.lit(1.0) - F.exp(-union / BINS)) * BINS
+    spread = F.sqrt(held * (j * (1 - j)) * F.greatest(F.lit(1.0) - held / union, F.lit(0.0)) + 1)
+    toggles = F.greatest(ca + cb - held * (2 * j), F.lit(0.0)) + spread * (2 * SIGMAS)
+    half = SKETCH_BITS / 2
+    most = (F.lit(1.0) - F.exp(-toggles / half)) * half + toggles * (SIGMAS * (2 / SKETCH_BITS) ** 0.5)
+    differ = F.lit(0)
     for i in range(SKETCH_BITS // 64):
-        out = out + F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i)))
-    return out
+        differ = differ + F.bit_count(F.get(F.col(f"sketch_{a}"), i).bitwiseXOR(F.get(F.col(f"sketch_{b}"), i)))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ <= most)
 
 
 def near_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -205,14 +217,17 @@ def near_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     classes = materialise(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     own = full.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "n", "rep")
     members = materialise(own, "members")
-    reps = p.join(classes, ["f1", "f2", "n"]).where(F.col("doc_id") == F.col("rep")).select("rep", "bands", "sketch").dropDuplicates(["rep", "bands"])
+    reps = p.join(classes, ["f1", "f2", "n"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bands", "samples", "sketch").dropDuplicates(["rep", "bands"])
     reps = materialise(reps, "reps")
 
     at = reps.select("rep", F.explode("bands").alias("bk"))
-    crowded = materialise(at.groupBy("bk").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where(F.col("head") < F.col("last")).select("bk", "head"), "crowded")
-    buckets = materialise(at.join(crowded, "bk").select("bk", "rep", "head"), "buckets")
+    crowded = materialise(at.groupBy("bk").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "crowded")
+    met = materialise(at.join(crowded, "bk").select("bk", "rep", "size"), "met")
+    # What many texts were made from shares the fullest bucket of nearly every band with them.
+    popular = met.groupBy("rep").agg(F.sum("size").alias("popular"))
+    buckets = materialise(met.join(popular, "rep").select("bk", "rep", "popular"), "buckets")
     ids = materialise(buckets.select("rep").distinct(), "candidates")
-    sketches = materialise(reps.join(ids, "rep").select(F.col("rep").alias("id"), "sketch"), "sketches")
+    sketches = materialise(reps.join(ids, "rep").select(F.col("rep").alias("id"), "n", "samples", "sketch"), "sketches")
     # Always by sorted merge: the texts move once, in proportion to the input at every size.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.withColumnRenamed("rep", "id").hint("merge"), "id")
     sets = materialise(texts.select("id", sets_udf(width)(F.col("text")).alias("set")), "sets")
@@ -227,44 +242,44 @@ def near_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 def _merge(buckets: DataFrame, ids: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, comp) of the classes that share a bucket."""
     comps = materialise(ids.select(F.col("rep").alias("id"), F.col("rep").alias("comp")), "comps")
-    most = most_differing(percent)
     tested: DataFrame | None = None
-    for turn in ("best", "first", "other", "all"):
-        b = buckets.join(comps, buckets["rep"] == comps["id"]).select("bk", "rep", "head", "comp")
-        b = materialise(b, "placed")
-        mixed = b.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("other"), F.mode("comp").alias("main") if turn == "all" else F.min("comp").alias("main"))
-        mixed = materialise(mixed.where(F.col("lo") < F.col("hi")).select("bk", "other", "main"), "mixed")
+
+    def sketched(df: DataFrame, key: str) -> DataFrame:
+        return df.join(sketches.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in ("n", "samples", "sketch")]), key)
+
+    for turn, head in enumerate((*HEADS, "all")):
+        b = materialise(buckets.join(comps, buckets["rep"] == comps["id"]).select("bk", "rep", "popular", "comp"), "placed")
+        # Larger is better; one number, so that a hash aggregate can hold it. Ties go to the least id.
+        worth = F.col("popular").cast("decimal(19,0)") if head == "popular" else F.xxhash64(F.lit(head), "rep").cast("decimal(20,0)")
+        worth = worth * F.lit("10000000000000000000").cast("decimal(20,0)") - F.col("rep")
+        mixed = b.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("rep", worth).alias("head"), F.max(worth).alias("worth"), F.mode("comp").alias("main") if head == "all" else F.max_by("comp", worth).alias("main"))
+        mixed = materialise(mixed.where(F.col("lo") < F.col("hi")).select("bk", "head", "worth", "main"), "mixed")
         if mixed.isEmpty():
             break
         rows = b.join(mixed, "bk")
-        if turn == "all":
+        if head == "all":
             # Rows of a bucket outside its main component meet all its rows; sketches decide inside the join.
-            s = rows.join(sketches, rows["rep"] == sketches["id"]).select("bk", "rep", "comp", "main", "sketch")
-            s = materialise(s, "apart")
-            left = s.where(F.col("comp") != F.col("main")).select("bk", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("sketch").alias("sx"))
-            right = s.select("bk", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("main"), F.col("sketch").alias("sy"))
+            s = materialise(sketched(rows.withColumnRenamed("rep", "id"), "id").select("bk", "id", "comp", "main", "n_id", "samples_id", "sketch_id"), "apart")
+            left = s.where(F.col("comp") != F.col("main")).select("bk", F.col("id").alias("x"), F.col("comp").alias("cx"), *[F.col(f"{c}_id").alias(f"{c}_x") for c in ("n", "samples", "sketch")])
+            right = s.select("bk", F.col("id").alias("y"), F.col("comp").alias("cy"), "main", *[F.col(f"{c}_id").alias(f"{c}_y") for c in ("n", "samples", "sketch")])
             once = (F.col("x") < F.col("y")) | (F.col("cy") == F.col("main"))
-            near = left.join(right, (left["bk"] == right["bk"]) & (F.col("cx") != F.col("cy")) & once & (_differ(F.col("sx"), F.col("sy")) <= most))
+            near = left.join(right, (left["bk"] == right["bk"]) & (F.col("cx") != F.col("cy")) & once & may_be_similar("x", "y", percent))
             pairs = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         else:
-            head = F.col("other") if turn == "other" else F.col("head")
-            pairs = rows.where(head != F.col("rep")).select(head.alias("h"), "rep", "comp")
-            pairs = pairs.join(comps.select(F.col("id").alias("h"), F.col("comp").alias("hc")), "h").where(F.col("hc") != F.col("comp"))
-            pairs = pairs.select(F.least("h", "rep").alias("x"), F.greatest("h", "rep").alias("y")).distinct()
-            pairs = pairs.join(sketches.select(F.col("id").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("id").alias("y"), F.col("sketch").alias("sy")), "y")
-            pairs = pairs.select("x", "y", _differ(F.col("sx"), F.col("sy")).alias("z")).where(F.col("z") <= most)
-            if turn == "best":  # one try for each class; most need no other
-                pairs = pairs.groupBy("y").agg(F.min_by("x", "z").alias("x"))
+            # One try for each class: against the best head of its buckets that is in another component.
+            pairs = rows.where(F.col("main") != F.col("comp")).groupBy("rep").agg(F.max_by("head", "worth").alias("head"))
+            pairs = sketched(sketched(pairs.select(F.col("head").alias("x"), F.col("rep").alias("y")), "x"), "y").where(may_be_similar("x", "y", percent)).select("x", "y")
         if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = materialise(pairs.select("x", "y"), "pairs")
+            done = tested.unionAll(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
+            pairs = pairs.join(done, ["x", "y"], "left_anti")
+        pairs = materialise(pairs.select("x", "y"), f"pairs{turn}")
         if not pairs.isEmpty():
             links = materialise(_links(pairs, sets, percent), "links")
             e = links.join(comps.select(F.col("id").alias("x"), F.col("comp").alias("a")), "x").join(comps.select(F.col("id").alias("y"), F.col("comp").alias("b")), "y")
             roots = components(e.select("a", "b"))
             comps = comps.join(roots, comps["comp"] == roots["node"], "left").select("id", F.coalesce("root", "comp").alias("comp"))
             comps = materialise(comps, "comps")
-        tested = pairs if tested is None else materialise(tested.unionAll(pairs), "tested")
+            tested = pairs if tested is None else materialise(tested.unionAll(pairs), "tested")
     return comps
 
 
