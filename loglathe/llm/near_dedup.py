@@ -9,7 +9,8 @@
    against one head only: of its buckets' heads in another component the most
    popular, which is most often what the others were made from. Candidates
    whose sizes or sketches rule the similarity out go, by a margin of six
-   standard deviations; the rest is confirmed on the full sets.
+   standard deviations (none for sets of up to ``WHOLE`` shingles, whose
+   sketch samples every shingle); the rest is confirmed on the full sets.
 4. Confirmed links merge components, and rounds with other heads follow; last,
    whatever is still apart in a bucket is held against all its members, by
    sketch inside the join, so no link between classes that share a bucket is
@@ -43,15 +44,22 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
 #: One-permutation MinHash: the least hash of each bin is a sample; an odd sketch folds them.
-BINS, SKETCH_BITS = 512, 2048
+BINS, SKETCH_BITS = 2048, 2048
+#: A set of up to so many shingles has a second sketch, of which every shingle is a sample: it tells exactly.
+WHOLE = 1024
 #: Standard deviations of the sketch's estimate that a candidate may lie below the wanted similarity.
 SIGMAS = 6
 #: Rounds against one head a class before the rest of a bucket is held against each other.
 HEADS = ("popular", "popular", "other", "third")
+#: Rows of a bucket that make it worth dealing to one part more, when all its rows meet.
+PART_ROWS = 4000
 #: Parts that the members of one head are dealt to.
 SALTS = 64
 
+#: What classes are compared by before their sets are.
+PROFILE = ("n", "samples", "sketch", "whole", "bands")
 _K = BANDS * ROWS
+WORDS = SKETCH_BITS // 64
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _rng.integers(0, 1 << 63, _K, dtype=np.uint64)
@@ -117,11 +125,15 @@ def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
     """The number of samples of a sorted set, and their parities on each bit as 64-bit words."""
     bins = shingles >> np.uint64(64 - BINS.bit_length() + 1)
     samples = shingles[np.append(True, bins[1:] != bins[:-1])]
+    return len(samples), parities(samples)
+
+
+def parities(samples: np.ndarray) -> np.ndarray:
     at = (mix64(samples ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return len(samples), np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-_PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("samples", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+_PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("samples", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))])
 
 
 def profile_udf(width: int):
@@ -133,13 +145,13 @@ def profile_udf(width: int):
             for text in texts:
                 s = words.shingles(text, width)
                 if not len(s):
-                    out.append((0, 0, 0, [], 0, []))
+                    out.append((0, 0, 0, [], 0, [], []))
                     continue
                 with np.errstate(over="ignore"):
                     f1 = mix64(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)
                     f2 = np.bitwise_xor.reduce(mix64(s + np.uint64(0x27D4EB2F))).view(np.int64)
-                out.append((len(s), int(f1), int(f2), bands(signature(s)), *odd_sketch(s)))
-            yield pd.DataFrame(out, columns=["n", "f1", "f2", "bands", "samples", "sketch"])
+                out.append((len(s), int(f1), int(f2), bands(signature(s)), *odd_sketch(s), parities(s) if len(s) <= WHOLE else []))
+            yield pd.DataFrame(out, columns=["n", "f1", "f2", "bands", "samples", "sketch", "whole"])
 
     return profile
 
@@ -187,25 +199,47 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(_confirm(percent), "x long, y long")
 
 
-def may_be_similar(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches of two classes (columns n_, samples_, sketch_ with these endings) let them be similar.
+def _differing(a: list[Column], b: list[Column]) -> Column:
+    """Bits in which two sketches differ."""
+    out = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        out = out + F.bit_count(x.bitwiseXOR(y))
+    return out
+
+
+def near_in_size(a: str, b: str, percent: int) -> Column:
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+
+def most_differing_whole(a: str, b: str, percent: int) -> Column:
+    """Similar sets differ in (1 - J) / (1 + J) of their sizes together at most, and parities in no more bits than that."""
+    return (F.col(f"n_{a}") + F.col(f"n_{b}")).cast("double") * (100 - percent) / (100 + percent) + 1e-6
+
+
+def most_differing(a: str, b: str, percent: int) -> Column:
+    """The bits in which sketches of samples of similar sets differ at most.
 
     Of a union of N shingles U = BINS (1 - exp(-N / BINS)) bins hold any, and a
-    bin's samples agree with probability J. What the samples say varies less
-    the more of the set they are: by U J (1 - J) (1 - U / N).
+    bin's samples agree with probability J, so the number that do varies by
+    BINS J (1 - J) at most. Kept short: a join evaluates it for each pair.
     """
     j = percent / 100
-    na, nb, ca, cb = (F.col(f"{c}_{x}").cast("double") for c in ("n", "samples") for x in (a, b))
-    union = (na + nb) / (1 + j)
-    held = (F.lit(1.0) - F.exp(-union / BINS)) * BINS
-    spread = F.sqrt(held * (j * (1 - j)) * F.greatest(F.lit(1.0) - held / union, F.lit(0.0)) + 1)
-    toggles = F.greatest(ca + cb - held * (2 * j), F.lit(0.0)) + spread * (2 * SIGMAS)
+    held = (F.lit(1.0) - F.exp((F.col(f"n_{a}") + F.col(f"n_{b}")) * (-1 / (1 + j) / BINS))) * BINS
+    toggles = (F.col(f"samples_{a}") + F.col(f"samples_{b}")) - held * (2 * j) + 2 * SIGMAS * (BINS * j * (1 - j)) ** 0.5
     half = SKETCH_BITS / 2
-    most = (F.lit(1.0) - F.exp(-toggles / half)) * half + toggles * (SIGMAS * (2 / SKETCH_BITS) ** 0.5)
-    differ = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        differ = differ + F.bit_count(F.get(F.col(f"sketch_{a}"), i).bitwiseXOR(F.get(F.col(f"sketch_{b}"), i)))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ <= most)
+    return F.least(toggles, (F.lit(1.0) - F.exp(toggles * (-1 / half))) * half + toggles * (SIGMAS * (2 / SKETCH_BITS) ** 0.5))
+
+
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches of two classes (columns n_, samples_, sketch_, whole_ with these endings) let them be similar."""
+
+    def differ(sketch: str) -> Column:
+        return _differing([F.get(F.col(f"{sketch}_{a}"), i) for i in range(WORDS)], [F.get(F.col(f"{sketch}_{b}"), i) for i in range(WORDS)])
+
+    both = (F.size(f"whole_{a}") > 0) & (F.size(f"whole_{b}") > 0)
+    exact = differ("whole") <= most_differing_whole(a, b, percent)
+    return near_in_size(a, b, percent) & F.when(both, exact).otherwise(differ("sketch") <= most_differing(a, b, percent))
 
 
 def near_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -217,7 +251,7 @@ def near_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     classes = materialise(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     own = full.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("doc_id", "n", "rep")
     members = materialise(own, "members")
-    reps = p.join(classes, ["f1", "f2", "n"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", "bands", "samples", "sketch").dropDuplicates(["rep", "bands"])
+    reps = p.join(classes, ["f1", "f2", "n"]).where(F.col("doc_id") == F.col("rep")).select("rep", *PROFILE).dropDuplicates(["rep", "bands"])
     reps = materialise(reps, "reps")
 
     at = reps.select("rep", F.explode("bands").alias("bk"))
@@ -227,7 +261,7 @@ def near_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     popular = met.groupBy("rep").agg(F.sum("size").alias("popular"))
     buckets = materialise(met.join(popular, "rep").select("bk", "rep", "popular"), "buckets")
     ids = materialise(buckets.select("rep").distinct(), "candidates")
-    sketches = materialise(reps.join(ids, "rep").select(F.col("rep").alias("id"), "n", "samples", "sketch"), "sketches")
+    sketches = materialise(reps.join(ids, "rep").select(F.col("rep").alias("id"), *PROFILE), "sketches")
     # Always by sorted merge: the texts move once, in proportion to the input at every size.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.withColumnRenamed("rep", "id").hint("merge"), "id")
     sets = materialise(texts.select("id", sets_udf(width)(F.col("text")).alias("set")), "sets")
@@ -245,26 +279,20 @@ def _merge(buckets: DataFrame, ids: DataFrame, sketches: DataFrame, sets: DataFr
     tested: DataFrame | None = None
 
     def sketched(df: DataFrame, key: str) -> DataFrame:
-        return df.join(sketches.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in ("n", "samples", "sketch")]), key)
+        return df.join(sketches.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in PROFILE]), key)
 
     for turn, head in enumerate((*HEADS, "all")):
         b = materialise(buckets.join(comps, buckets["rep"] == comps["id"]).select("bk", "rep", "popular", "comp"), "placed")
         # Larger is better; one number, so that a hash aggregate can hold it. Ties go to the least id.
         worth = F.col("popular").cast("decimal(19,0)") if head == "popular" else F.xxhash64(F.lit(head), "rep").cast("decimal(20,0)")
         worth = worth * F.lit("10000000000000000000").cast("decimal(20,0)") - F.col("rep")
-        mixed = b.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("rep", worth).alias("head"), F.max(worth).alias("worth"), F.mode("comp").alias("main") if head == "all" else F.max_by("comp", worth).alias("main"))
-        mixed = materialise(mixed.where(F.col("lo") < F.col("hi")).select("bk", "head", "worth", "main"), "mixed")
+        mixed = b.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("rep", worth).alias("head"), F.max(worth).alias("worth"), F.mode("comp").alias("main") if head == "all" else F.max_by("comp", worth).alias("main"), F.count(F.lit(1)).alias("rows"))
+        mixed = materialise(mixed.where(F.col("lo") < F.col("hi")).select("bk", "head", "worth", "main", "rows"), "mixed")
         if mixed.isEmpty():
             break
         rows = b.join(mixed, "bk")
         if head == "all":
-            # Rows of a bucket outside its main component meet all its rows; sketches decide inside the join.
-            s = materialise(sketched(rows.withColumnRenamed("rep", "id"), "id").select("bk", "id", "comp", "main", "n_id", "samples_id", "sketch_id"), "apart")
-            left = s.where(F.col("comp") != F.col("main")).select("bk", F.col("id").alias("x"), F.col("comp").alias("cx"), *[F.col(f"{c}_id").alias(f"{c}_x") for c in ("n", "samples", "sketch")])
-            right = s.select("bk", F.col("id").alias("y"), F.col("comp").alias("cy"), "main", *[F.col(f"{c}_id").alias(f"{c}_y") for c in ("n", "samples", "sketch")])
-            once = (F.col("x") < F.col("y")) | (F.col("cy") == F.col("main"))
-            near = left.join(right, (left["bk"] == right["bk"]) & (F.col("cx") != F.col("cy")) & once & may_be_similar("x", "y", percent))
-            pairs = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            pairs = _apart(sketched(rows.withColumnRenamed("rep", "id"), "id"), percent)
         else:
             # One try for each class: against the best head of its buckets that is in another component.
             pairs = rows.where(F.col("main") != F.col("comp")).groupBy("rep").agg(F.max_by("head", "worth").alias("head"))
@@ -283,6 +311,38 @@ def _merge(buckets: DataFrame, ids: DataFrame, sketches: DataFrame, sets: DataFr
     return comps
 
 
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of rows that share a bucket but no component, as far as their sketches let them be similar.
+
+    Rows outside their bucket's main component meet all its rows, in parts of
+    at most ``PART_ROWS`` if there are more. Sketches lie in columns of their
+    own, which the join compares fastest: the exact kind where both have it,
+    else the sampled one. A pair comes out of the first bucket that it shares.
+    """
+    n = F.col("n_id")
+    kinds = F.when(n > WHOLE, F.array(F.lit(False))).when(n * 100 >= WHOLE * percent, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    s = rows.select("bk", "id", "comp", "main", (F.col("rows") / PART_ROWS).cast("int").alias("parts"), *[f"{c}_id" for c in PROFILE], F.explode(kinds).alias("exact"))
+    s = materialise(s, "apart")
+
+    def side(frame: DataFrame, x: str, part: Column, sketch: str) -> DataFrame:
+        return frame.select(F.col("bk").alias(f"bk_{x}"), part.alias(f"part_{x}"), F.col("id").alias(x), F.col("comp").alias(f"c{x}"), F.col("main").alias(f"main_{x}"), F.col("n_id").alias(f"n_{x}"), F.col("samples_id").alias(f"samples_{x}"), F.col("bands_id").alias(f"bands_{x}"), *[F.get(f"{sketch}_id", i).alias(f"w{i}_{x}") for i in range(WORDS)])
+
+    once = (F.col("x") < F.col("y")) | (F.col("cy") == F.col("main_y"))
+    met = (F.col("bk_x") == F.col("bk_y")) & (F.col("part_x") == F.col("part_y")) & (F.col("cx") != F.col("cy")) & once & near_in_size("x", "y", percent)
+    first = F.get(F.array_intersect("bands_x", "bands_y"), F.lit(0)) == F.col("bk_x")
+    differ = _differing([F.col(f"w{i}_x") for i in range(WORDS)], [F.col(f"w{i}_y") for i in range(WORDS)])
+    out = []
+    for exact in (True, False):
+        own = s.where(F.col("exact") == exact)
+        left = side(own.where(F.col("comp") != F.col("main")), "x", F.pmod(F.xxhash64("id"), F.col("parts") + 1).cast("int"), "whole" if exact else "sketch")
+        right = side(own, "y", F.explode(F.sequence(F.lit(0), F.col("parts"))), "whole" if exact else "sketch")
+        near = differ <= (most_differing_whole if exact else most_differing)("x", "y", percent)
+        if not exact:
+            near = (F.greatest("n_x", "n_y") > WHOLE) & near
+        out.append(left.hint("merge").join(right, met & near & first).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    return out[0].unionAll(out[1])
+
+
 def mark(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     c = near_components(docs, width, percent)
