@@ -30,11 +30,9 @@ def main(argv: list[str] | None = None, stdin=sys.stdin, stdout=sys.stdout) -> i
 
     try:
         spark = session()
-        lines = from_texts(spark, stdin)
-        if a.files:
-            lines = read_lines(spark, a.files[0])
-            for path in a.files[1:]:
-                lines = lines.unionAll(read_lines(spark, path))
+        lines = read_lines(spark, a.files[0]) if a.files else from_texts(spark, stdin)
+        for path in a.files[1:]:
+            lines = lines.unionAll(read_lines(spark, path))
         result = run(a.program, lines, a.since, a.until, a.interval, a.lookback, a.compat)
         for text in result.lines(a.verbose, a.interactive):
             stdout.write(text + "\n")

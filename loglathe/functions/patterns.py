@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+try:
+    import regex as _engine  # knows Unicode and bracket classes
+except ImportError:
+    _engine = re
+
 from loglathe.errors import ProgramError
 
 _POSIX = {"alpha": r"\p{Alpha}", "digit": "0-9", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "word": r"\w", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}", "print": r"\p{Print}"}
@@ -54,4 +59,13 @@ def groups(pattern: str) -> int:
 
 def matches_name(pattern: str, name: str) -> bool:
     """For metric names, which are known when planning."""
-    return re.fullmatch(pattern, name) is not None
+    return _engine.fullmatch(pattern, name) is not None
+
+
+def check(pattern: str) -> None:
+    """Raises ProgramError where a pattern is malformed, before any task sees it."""
+    to_java(pattern)
+    try:
+        _engine.compile(pattern)
+    except _engine.error as e:
+        raise ProgramError(f"malformed pattern: {e}") from None
