@@ -86,7 +86,14 @@ def map_entries(lines: DataFrame, decoder: Decoder, fields: tuple[Field, ...], s
                 return F.try_element_at("tuple", F.lit(f.position + 1))
             return F.try_element_at("dict", F.lit(f.source))
 
-    columns, must = [F.col("line_no")], []
+    # Extracted once, below: expressions used more than once aren't merged into what uses them.
+    taken = [f for f in fields if f.type != "const"]
+    raws = {f.name: f"__raw_{i}" for i, f in enumerate(taken)}
+    rows = rows.select("line_no", *[get(f).alias(raws[f.name]) for f in taken])
+    for c in raws.values():
+        rows = rows.where(F.col(c).isNotNull())
+
+    columns = [F.col("line_no")]
     labels, values = [], []
     ts = F.lit(None).cast("long")
     for f in fields:
@@ -94,35 +101,27 @@ def map_entries(lines: DataFrame, decoder: Decoder, fields: tuple[Field, ...], s
             columns.append(F.lit(f.value).alias(f"l_{f.name}"))
             labels.append(f.name)
             continue
-        raw = get(f)
-        must.append(raw.isNotNull())
+        raw = F.col(raws[f.name])
         if f.type == "ts":
             ts = times.by_format(raw, f.format) if f.format else times.detect(raw)
-            must.append(F.col("ts_ms").isNotNull())
         elif f.type == "str":
             columns.append(raw.alias(f"l_{f.name}"))
             labels.append(f.name)
         elif f.type == "num":
             columns.append(to_number(raw).alias(f"v_{f.name}"))
-            must.append(F.col(f"v_{f.name}").isNotNull())
             values.append(f.name)
         else:
             number = to_number(raw)
             columns += [F.when(number.isNull(), raw).alias(f"l_{f.name}"), number.alias(f"v_{f.name}")]
             labels.append(f.name)
             values.append(f.name)
-    for i, f in enumerate(f for f in fields if f.type != "const"):
-        columns.append(get(f).isNotNull().alias(f"__has_{i}"))
     out = rows.select(*columns, ts.alias("ts_ms"))
-    has = [c for c in out.columns if c.startswith("__has_")]
-    for c in has:
-        out = out.where(F.col(c))
     for f in fields:
         if f.type == "ts":
             out = out.where(F.col("ts_ms").isNotNull())
         elif f.type == "num":
             out = out.where(F.col(f"v_{f.name}").isNotNull())
-    return Records(in_range(out.drop(*has), since, until), tuple(labels), tuple(values))
+    return Records(in_range(out, since, until), tuple(labels), tuple(values))
 
 
 def in_range(df: DataFrame, since: int | None, until: int | None) -> DataFrame:
