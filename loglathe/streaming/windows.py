@@ -69,4 +69,6 @@ def stream(expression: str, records: Records, interval: int | None = None, since
     v = _plan(e, records, interval or interval_of(e) or DEFAULT_INTERVAL, since, late)
     if isinstance(v, float):
         raise KindError("a number is no stream")
-    return v.df.select("instant", *v.series_columns, "value")
+    fixed = {"instant", NAME, "value"}
+    labels = [F.col(c).alias(c[2:]) if c.startswith("l_") and c[2:] not in fixed else F.col(c) for c in v.series_columns]
+    return v.df.select("instant", *labels, "value")
