@@ -23,34 +23,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) one is made.
+    Only where the setting is absent on a single machine (tests) one is made;
+    on a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         path = f"file://{tempfile.mkdtemp(prefix='loglathe-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loglathe/{name}-{uuid.uuid4().hex}"
+    """A folder yet to be made, under one of this application that goes when it ends."""
+    top = f"{shared_dir(spark)}/loglathe/{spark.sparkContext.applicationId}"
+    system, at = _file_system(spark, top)
+    if not system.exists(at):
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors. ``release`` removes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loglathe_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove what ``materialise`` wrote for these frames, once nothing lazy reads it any more."""
+    for df in frames:
+        path = getattr(df, "__dict__", {}).pop("_loglathe_path", None)
+        if path:
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
