@@ -11,11 +11,15 @@ the response and the others are revisits that name it. ``read_warc`` cuts by
 Content-Length and checks every digest.
 
 Archives are written by Spark's text writer to any file system it knows, with
-gzip over the whole file; a file holds ``PER_FILE`` records at most and
-readers take one file at a time. Equal payloads are matched by digest and
-length through an aggregate, never gathered.
-
-Defined cases: a null page is an empty payload; a null url is written as
+fast gzip over the whole file. A file closes once it holds ``FILE_BYTES``, and
+readers inflate it as a stream, so memory depends on that and on the largest
+page. Equal payloads are matched by digest and length through an aggregate,
+never gathered. The first reading of the ARC files takes digests alone; which
+records are revisits then travels as one small list a file (bounded, as files
+are) to the second, which writes the WARC files, so payloads are never dealt
+out by key.
+
+Defined cases: a page may be as long as a Spark string; a null page is an empty payload; a null url is written as
 ``urn:page:<id>``, and blanks and line ends in a url are escaped; a null
 page_id is kept apart (written as "-") and never refers nor is referred to;
 rows with equal page_id and payload count as one response each; an empty table
@@ -28,20 +32,20 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
-from itertools import islice
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import drop_path, materialise, new_path, release
 
-#: Records of one archive file, at most; bounds what a reader holds.
-PER_FILE = 5000
-_BATCH = 256
+#: Bytes of records, before compression, after which an archive file closes.
+FILE_BYTES = 32 << 20
+#: Compressed bytes inflated at a time, and rows given out together.
+_STEP, _ROWS = 1 << 16, 1024
 #: Pages without a capture time of their own carry this one.
 CAPTURED = "20240101000000"
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
@@ -49,6 +53,65 @@ V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Locat
 _END = "\r\n\r\n"
 
 
+class Inflated:
+    """The bytes of a file, inflated as far as they are asked for: all gzip members, or the bytes themselves."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.have, self.start = memoryview(data), 0, bytearray(), 0
+        self.zipped = bytes(self.data[:2]) == b"\x1f\x8b"
+        self.member = zlib.decompressobj(31)
+
+    def _more(self) -> bool:
+        if self.start > _STEP:
+            del self.have[: self.start]
+            self.start = 0
+        if self.at >= len(self.data):
+            return False
+        part = self.data[self.at : self.at + _STEP]
+        self.at += len(part)
+        if not self.zipped:
+            self.have += part
+            return True
+        self.have += self.member.decompress(part)
+        while self.member.eof and (rest := self.member.unused_data):
+            self.member = zlib.decompressobj(31)
+            self.have += self.member.decompress(rest)
+        if self.member.eof:
+            self.member = zlib.decompressobj(31)
+        return True
+
+    def until(self, end: bytes) -> bytes | None:
+        """What stands before the next ``end``, which is passed over; None if there is none."""
+        seen = self.start
+        while (found := self.have.find(end, seen)) < 0:
+            seen = max(self.start, len(self.have) - len(end) + 1)
+            moved = self.start
+            if not self._more():
+                return None
+            seen -= moved - self.start
+        out = bytes(self.have[self.start : found])
+        self.start = found + len(end)
+        return out
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes; fewer at the end."""
+        while len(self.have) - self.start < n and self._more():
+            pass
+        out = bytes(self.have[self.start : self.start + n])
+        self.start += len(out)
+        return out
+
+    def skip(self, blanks: bytes) -> bool:
+        """Passes over such bytes; whether anything follows."""
+        while True:
+            while self.start < len(self.have):
+                if self.have[self.start] not in blanks:
+                    return True
+                self.start += 1
+            if not self._more():
+                return False
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -65,25 +128,22 @@ def arc_record(url: str, payload: bytes, version: int = 1, captured: str = CAPTU
     return f"{url} 0.0.0.0 {captured} {middle} {len(payload)}\n".encode() + payload
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
+def parse_arc(data: bytes | Inflated) -> Iterator[dict]:
     """Records of an ARC file, or of several end to end: the fields that the last version block names, and ``payload``.
 
     Blank lines between records are passed over.
     """
-    names, version, at = None, 1, 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"ARC header line at byte {at} has no end")
-        fields = data[at:end].decode("utf-8").rstrip("\r").split(" ")
-        length, at = int(fields[-1]), end + 1
-        block = data[at : at + length]
+    names, version = None, 1
+    file = data if isinstance(data, Inflated) else Inflated(data)
+    while file.skip(b"\r\n"):
+        line = file.until(b"\n")
+        if line is None:
+            raise ValueError("the last ARC header line has no end")
+        fields = line.decode("utf-8").rstrip("\r").split(" ")
+        length = int(fields[-1])
+        block = file.take(length)
         if len(block) < length:
-            raise ValueError(f"ARC block at byte {at} is cut short: {len(block)} of {length} bytes")
-        at += length
+            raise ValueError(f"the last ARC block is cut short: {len(block)} of {length} bytes")
         if names is None or fields[0].startswith("filedesc://"):
             first, second = block.split(b"\n")[:2]
             version = int(first.split(b" ")[0])
@@ -117,129 +177,175 @@ def warc_record(url: str, date: str, page: str, payload: bytes, digest: str, ref
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
+def parse_warc(data: bytes | Inflated) -> Iterator[dict]:
     """Records of a WARC file: header fields in lower case and ``block``."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
+    file = data if isinstance(data, Inflated) else Inflated(data)
+    while file.skip(b"\r\n"):
+        head = file.until(b"\r\n\r\n")
+        if head is None or not head.startswith(b"WARC/"):
+            raise ValueError("what follows the last WARC record is none")
         fields = {}
-        for line in data[at:end].decode("utf-8").split("\r\n")[1:]:
+        for line in head.decode("utf-8").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        length, at = int(fields["content-length"]), end + 4
-        block = data[at : at + length]
+        length = int(fields["content-length"])
+        block = file.take(length)
         if len(block) < length:
-            raise ValueError(f"WARC block at byte {at} is cut short: {len(block)} of {length} bytes")
-        at += length
+            raise ValueError(f"WARC block of {fields.get('warc-record-id')} is cut short: {len(block)} of {length} bytes")
         yield fields | {"block": block}
 
 
-def _gunzip(data: bytes) -> bytes:
-    """All gzip members of a file, or the bytes themselves."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out) + data
+def _row(records: list[bytes], between: str) -> pa.RecordBatch:
+    """One row of text that becomes one file; bytes as they are."""
+    return pa.RecordBatch.from_arrays([pa.array([between.encode().join(records)], pa.binary()).view(pa.string())], ["value"])
+
+
+def _filled(records: Iterable[bytes], between: str, most: int, head: bytes | None = None) -> Iterator[pa.RecordBatch]:
+    """Records as rows of ``most`` bytes or as little more as the last record takes; ``head`` opens each."""
+    held, size = [], 0
+    for r in records:
+        if head and not held:
+            held.append(head)
+        held.append(r)
+        size += len(r)
+        if size >= most:
+            yield _row(held, between)
+            held, size = [], 0
+    if held:
+        yield _row(held, between)
+
 
+def _write(rows: DataFrame, path: str, end: str) -> None:
+    """A file for each row; Spark's writer adds ``end`` and compresses."""
+    rows.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
-def _write(records: DataFrame, path: str, end: str) -> None:
-    """One column of whole records; Spark's writer adds ``end`` after each and compresses."""
-    records.write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
+def _files(spark, path: str) -> DataFrame:
+    """file (its name) and content."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
-def _read(spark, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= _ROWS or size >= FILE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def page_key(page_id: Column) -> Column:
     return F.coalesce(page_id.cast("string"), F.lit("-"))
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
+def write_arc(pages: DataFrame, path: str, version: int = 1, file_bytes: int = FILE_BYTES) -> None:
     """Pages as ARC files, each opened by its version block."""
 
-    def records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done = 0
-        for rows in parts:
-            out = []
-            for page, url, html in zip(rows["page"], rows["url"], rows["html"], strict=True):
-                where = quote(url if url is not None else f"urn:page:{page}", safe="".join(map(chr, range(33, 127)))) + f"#page={page}"
-                # A writer's file holds PER_FILE rows, so its first row is one of these.
-                head = b"" if done % PER_FILE else arc_header(version) + b"\n"
-                out.append((head + arc_record(where, (html or "").encode("utf-8"), version)).decode("utf-8"))
-                done += 1
-            yield pd.DataFrame({"value": out})
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[bytes]:
+            for part in parts:
+                for page, url, html in zip(*(part.column(i) for i in range(3)), strict=True):
+                    page, url = page.as_py(), url.as_py()
+                    where = quote(url if url is not None else f"urn:page:{page}", safe="".join(map(chr, range(33, 127)))) + f"#page={page}"
+                    yield arc_record(where, html.as_py() or b"", version)
+
+        return _filled(records(), "\n", file_bytes, arc_header(version))
 
-    _write(pages.select(page_key(F.col("page_id")).alias("page"), "url", "html").mapInPandas(records, "value string"), path, "\n")
+    _write(pages.select(page_key(F.col("page_id")).alias("page"), "url", F.col("html").cast("binary").alias("html")).mapInArrow(rows, "value string"), path, "\n")
 
 
-def read_arc(spark, path: str) -> DataFrame:
-    """page (text), url, date and payload of every record of the ARC files in a folder."""
+def _place(record: dict) -> tuple[str, str]:
+    """url, page"""
+    url, _, page = record["URL"].rpartition("#page=")
+    return url, page
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in parts:
-            for data in files["content"]:
-                records = parse_arc(_gunzip(bytes(data)))
-                while rows := list(islice(records, _BATCH)):
-                    parts_of = [r["URL"].rpartition("#page=") for r in rows]
-                    yield pd.DataFrame({"page": [p[2] for p in parts_of], "url": [p[0] for p in parts_of], "date": [warc_date(r["Archive-date"]) for r in rows], "payload": [r["payload"] for r in rows]})
 
-    return _read(spark, path).mapInPandas(parse, "page string, url string, date string, payload binary")
+def read_arc(spark, path: str, payloads: bool = True) -> DataFrame:
+    """file, k (place there), page (text), url, date, digest, n (bytes) and, if asked for, payload of every record of the ARC files in a folder."""
+    fields = [("file", pa.string()), ("k", pa.int64()), ("page", pa.string()), ("url", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("n", pa.int64())]
+    schema = pa.schema([*fields, *([("payload", pa.binary())] if payloads else [])])
 
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for part in parts:
+                for name, data in zip(*part.columns, strict=True):
+                    for k, r in enumerate(parse_arc(Inflated(data.as_buffer()))):
+                        url, page = _place(r)
+                        payload = r["payload"]
+                        row = (name.as_py(), k, page, url, warc_date(r["Archive-date"]), sha1_base32(payload), len(payload))
+                        yield (*row, payload) if payloads else row
 
-def to_warc(records: DataFrame, path: str, dedup_from: int = 0) -> None:
-    """ARC records as WARC files, revisits told from responses."""
+        return _batches(rows(), schema)
 
-    @F.pandas_udf("string")
-    def digest_of(payload: pd.Series) -> pd.Series:
-        return payload.map(lambda p: sha1_base32(bytes(p)))
+    out = "file string, k long, page string, url string, date string, digest string, n long"
+    return _files(spark, path).mapInArrow(parse, out + ", payload binary" if payloads else out)
 
-    @F.pandas_udf("string")
-    def record(url: pd.Series, date: pd.Series, page: pd.Series, payload: pd.Series, digest: pd.Series, refers: pd.Series) -> pd.Series:
-        rows = zip(url, date, page, payload, digest, refers, strict=True)
-        return pd.Series([warc_record(u, d, p, bytes(b), g, None if pd.isna(r) else r).decode("utf-8") for u, d, p, b, g, r in rows])
 
-    full = records.withColumn("digest", digest_of(F.col("payload"))).withColumn("n", F.octet_length("payload")).withColumn("page_no", F.when(F.col("page") != "-", F.col("page").cast("decimal(38,0)")))
-    known = full.where(F.col("n") >= dedup_from)
+def revisits(records: DataFrame, dedup_from: int = 0) -> DataFrame:
+    """file, of: for each file with any the records (k) that revisit, and the page they refer to."""
+    known = records.where((F.col("n") >= dedup_from) & (F.col("page") != "-")).select("file", "k", "digest", "n", F.col("page").cast("decimal(38,0)").alias("page_no"))
     largest = known.groupBy("digest", "n").agg(F.max("page_no").alias("best"), F.count(F.lit(1)).alias("copies"))
-    largest = largest.where(F.col("copies") > 1).select(F.col("digest").alias("b_digest"), F.col("n").alias("b_n"), "best")
-    # Only the small side is looked up: digests seen twice or more.
-    out = full.join(largest, (F.col("digest") == F.col("b_digest")) & (F.col("n") == F.col("b_n")), "left")
-    refers = F.when(F.col("page_no") < F.col("best"), F.col("best").cast("string"))
-    _write(out.select(record("url", "date", "page", "payload", "digest", refers).alias("value")), path, _END)
+    largest = largest.where(F.col("copies") > 1).select("digest", "n", "best")
+    found = known.join(largest, ["digest", "n"]).where(F.col("page_no") < F.col("best"))
+    # A file holds a bounded number of records.
+    return found.groupBy("file").agg(F.collect_list(F.struct("k", F.col("best").cast("string").alias("best"))).alias("of"))
+
+
+def to_warc(spark, arc: str, path: str, dedup_from: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """The ARC files of a folder as WARC files, revisits told from responses."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[bytes]:
+            for part in parts:
+                for data, of in zip(*part.columns, strict=True):
+                    refers = {r["k"]: r["best"] for r in of.as_py() or ()}
+                    for k, r in enumerate(parse_arc(Inflated(data.as_buffer()))):
+                        url, page = _place(r)
+                        payload = r["payload"]
+                        yield warc_record(url, warc_date(r["Archive-date"]), page, payload, sha1_base32(payload), refers.get(k))
+
+        return _filled(records(), _END, file_bytes)
+
+    seen = materialise(read_arc(spark, arc, False), "arc-records")
+    again = materialise(revisits(seen, dedup_from), "revisits")
+    files = _files(spark, arc).join(again, "file", "left").select("content", "of")
+    _write(files.mapInArrow(rows, "value string"), path, _END)
+    release(seen, again)
 
 
 def read_warc(spark, path: str) -> DataFrame:
     """page, payload_bytes, payload_digest, record_type, refers_to, record_id, date of every record; a block that its digest belies is an error."""
+    text, number = pa.string(), pa.int64()
+    schema = pa.schema([("page", text), ("payload_bytes", number), ("payload_digest", text), ("record_type", text), ("refers_to", text), ("record_id", text), ("date", text)])
+
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for part in parts:
+                for data in part.column(0):
+                    for r in parse_warc(Inflated(data.as_buffer())):
+                        digest, kind = r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"]
+                        if kind == "response" and sha1_base32(r["block"]) != digest:
+                            raise ValueError(f"record {r['warc-record-id']} does not match its digest")
+                        n = len(r["block"]) if kind == "response" else int(r["x-payload-length"])
+                        yield r["x-page-id"], n, digest, kind, r.get("x-refers-to-page"), r["warc-record-id"], r["warc-date"]
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in parts:
-            for data in files["content"]:
-                rows = []
-                for r in parse_warc(_gunzip(bytes(data))):
-                    digest, kind = r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"]
-                    if kind == "response" and sha1_base32(r["block"]) != digest:
-                        raise ValueError(f"record {r['warc-record-id']} does not match its digest")
-                    n = len(r["block"]) if kind == "response" else int(r["x-payload-length"])
-                    rows.append((r["x-page-id"], n, digest, kind, r.get("x-refers-to-page"), r["warc-record-id"], r["warc-date"]))
-                yield pd.DataFrame(rows, columns=["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date"])
+        return _batches(rows(), schema)
 
-    return _read(spark, path).mapInPandas(parse, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, date string")
+    return _files(spark, path).select("content").mapInArrow(parse, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, date string")
 
 
-def convert(pages: DataFrame, version: int = 1, dedup_from: int = 0) -> DataFrame:
+def convert(pages: DataFrame, version: int = 1, dedup_from: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Pages to ARC, ARC to WARC, and what the WARC files say of each page."""
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages.select("page_id", "url", "html"), arc, version)
-    to_warc(read_arc(spark, arc), warc, dedup_from)
+    write_arc(pages.select("page_id", "url", "html"), arc, version, file_bytes)
+    to_warc(spark, arc, warc, dedup_from, file_bytes)
+    drop_path(spark, arc)
     back = read_warc(spark, warc)
     kind = pages.schema["page_id"].dataType
     return back.select(F.when(F.col("page") != "-", F.col("page")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
