@@ -16,10 +16,12 @@ gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,8 +37,10 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 OPEN, OPEN_AGAIN = 64, 4096
 #: First packers whose open bins one second packer takes over.
 FAN_IN = 32
-#: Distinct stretches of text whose ids are remembered, by a worker.
-CACHE = 400_000
+#: Characters that are encoded at once; a longer text goes in parts, which bounds memory.
+AT_ONCE = 2_000_000
+#: How the vocabulary's pre-tokenizer cuts a text (fixed value of byte-level BPE).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizer() -> str:
@@ -45,40 +49,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
-class Ids(dict):
-    """Text stretch -> its ids as little-endian 32-bit bytes.
-
-    A byte-level BPE never merges across the stretches its pattern cuts a text
-    into, so ids of a stretch can be remembered; each new one goes through the
-    tokenizer itself. Texts that hold an added token's string go there whole.
+def byte_ranks(tokenizer) -> dict[bytes, int] | None:
+    """Token bytes -> id of a byte-level BPE whose ids rise in the order of its merges; None of any other."""
+    spec = json.loads(tokenizer.to_str())
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not plain or spec["normalizer"] or spec["post_processor"] or model["type"] != "BPE" or model.get("dropout"):
+        return None
+    # Bytes that print stand for themselves, the others for the code points from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in added}
+    merges = [vocabulary[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    if merges != sorted(merges) or len(merges) + 256 != len(vocabulary):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
+
+
+class Ids:
+    """Text -> its ids as little-endian 32-bit bytes.
+
+    Where ids rise in the order of merges, merging by rank gives the ids of
+    the tokenizer itself (a test holds every merge to it), many times faster.
+    Texts that hold an added token's string go to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        import numpy as np
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.np = np
         self.tokenizer = Tokenizer.from_file(path)
-        pattern = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.find = regex.compile(pattern).findall
+        ranks = byte_ranks(self.tokenizer)
+        self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        #: A single blank between other characters opens a stretch that merges never leave.
+        self.seam = re.compile(r"(?<=\S) (?=\S)").search if ranks and not any(" " in t for t in added) else lambda text, at: None
 
-    def direct(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, stretch: str) -> bytes:
-        out = self.direct(stretch)
-        if len(self) < CACHE:
-            self[stretch] = out
-        return out
+    def part(self, text: str) -> bytes:
+        if self.by_rank is None or self.added(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.by_rank(text)
+        return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.added(text):
-            return self.direct(text)
-        return b"".join(map(self.__getitem__, self.find(text)))
+        out, at = [], 0
+        while len(text) - at > AT_ONCE and (seam := self.seam(text, at + AT_ONCE)):
+            out.append(self.part(text[at : seam.start()]))
+            at = seam.start()
+        return b"".join([*out, self.part(text[at:] if at else text)])
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -147,7 +168,7 @@ class BestFit:
         return [(own, *piece) for bins in self.at for own, holds in bins for piece in holds]
 
 
-_FIRST = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence long, offset long"
+_FIRST = "doc_id {id}, piece int, start long, length long, ids_crc32 long, sequence long, offset long, still_open boolean"
 
 
 def _first_id(level: int) -> int:
@@ -159,10 +180,10 @@ def _pack_first(capacity: int, most_open: int):
         bins = BestFit(capacity, most_open, _first_id(0))
         for rows in parts:
             placed = [bins.place(n) for n in rows["length"].tolist()]
-            yield rows.assign(sequence=[p[0] for p in placed], offset=[p[1] for p in placed])
+            yield rows.assign(sequence=[p[0] for p in placed], offset=[p[1] for p in placed], still_open=False)
         left = bins.still_open()
-        if left:  # told apart by their missing piece number
-            yield pd.DataFrame({"doc_id": None, "piece": pd.array([None] * len(left), "Int32"), "start": 0, "length": [x[2] for x in left], "ids_crc32": 0, "sequence": [x[0] for x in left], "offset": [x[1] for x in left]})
+        if left:  # once more, for the second packers
+            yield pd.DataFrame({"doc_id": None, "piece": 0, "start": 0, "length": [x[2] for x in left], "ids_crc32": 0, "sequence": [x[0] for x in left], "offset": [x[1] for x in left], "still_open": True})
 
     return pack
 
@@ -186,9 +207,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cut_up.withColumn("h", order).repartition(n, "h").sortWithinPartitions("h", "doc_id", "piece", "length", "ids_crc32").drop("h")
-    first = materialise(dealt.mapInPandas(_pack_first(capacity, most_open), _FIRST.format(id=kind)), "packed")
-    left = first.where(F.col("piece").isNull()).select("sequence", "offset", "length")
+    # Parted, so that the second packers read no more than they pack.
+    first = materialise(dealt.mapInPandas(_pack_first(capacity, most_open), _FIRST.format(id=kind)), "packed", "still_open")
+    left = first.where(F.col("still_open")).select("sequence", "offset", "length")
     left = left.coalesce(max(1, n // FAN_IN)).sortWithinPartitions(F.col("length").desc(), "sequence", "offset")
     moved = materialise(left.mapInPandas(_pack_again(capacity, OPEN_AGAIN), "was long, was_at long, sequence_id long, new_at long"), "repacked")
-    rows = first.where(F.col("piece").isNotNull()).join(moved, (F.col("sequence") == F.col("was")) & (F.col("offset") == F.col("was_at")), "left")
+    rows = first.where(~F.col("still_open")).join(moved, (F.col("sequence") == F.col("was")) & (F.col("offset") == F.col("was_at")), "left")
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "sequence").alias("sequence_id"), F.coalesce("new_at", "offset").alias("offset"))
