@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +105,17 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def words_in_parts(text: str | None, at_once: int, lower: bool = False) -> Iterator[list[bytes]]:
+    """The words of a text, ``at_once`` at a time, so that a long text's aren't held together."""
+    raw = text.encode("utf-8", "replace") if text else b""
+    raw = raw.lower() if lower else raw
+    while raw:
+        words = raw.split(None, at_once)
+        raw = words.pop() if len(words) > at_once else b""
+        if words:
+            yield words
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     x = x.astype(np.uint64, copy=True)

@@ -223,7 +223,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     ids = labelled_ids(labels, "quality", per_class)
     s = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", stats_udf(F.col("text")).alias("s")).select("doc_id", "y", "s.*")
     cols = [c.alias(n) for n, c in features().items()]
-    got = s.select("doc_id", "y", *cols).toPandas().sort_values(["doc_id", "y", *FEATURES], kind="stable")  # 2 * per_class rows of numbers
+    # Of documents with equal doc_id the one whose features sort first, so 2 * per_class rows at most.
+    s = s.select("doc_id", "y", F.struct(*cols).alias("f")).groupBy("doc_id", "y").agg(F.min("f").alias("f"))
+    got = s.select("doc_id", "y", "f.*").toPandas().sort_values(["doc_id", "y"], kind="stable")
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, got["y"].to_numpy())
 
 
