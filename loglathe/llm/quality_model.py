@@ -1,17 +1,20 @@
 """Supervised subword embeddings: a quality classifier in the manner of fastText.
 
-Hashed vectors of words and of character n-grams (2 to 4) are averaged per
-document and go through a softmax; numpy stochastic gradient descent learns
-both from a bounded sample of labelled documents (``samples.PER_CLASS`` of
-either class, balanced). Repetition counts as pseudo-words, see ``MARKERS``. Vectors start at zero, so what the sample never held
-says nothing. As the softmax is linear in the average, scoring needs one
-number a feature: each distinct word's features are summed once and every
-whole text is a weighted mean of them.
+Hashed vectors of words, of pairs of neighbouring words and of character
+n-grams (2 to 4) are averaged per document and go through a softmax; numpy
+stochastic gradient descent learns both from a bounded sample of labelled
+documents (``samples.PER_CLASS`` of either class, balanced). A pair's bucket is
+the difference of its words' hashes, so that any word said twice running falls
+into the same bucket, whose vector is learned like the rest. Vectors start at
+zero, so what the sample never held says nothing. As the softmax is linear in
+the average, scoring needs one number a feature: each distinct word's features
+are summed once, pairs are looked up in the weights, and every whole text is a
+weighted mean of them, in parts of ``AT_ONCE`` words.
 
 Defined cases: null and empty texts, and texts of blanks, score as an average
-of zero, which is the bias alone; repeated rows score alike; without labels of
-both classes every score is 0.5; an empty table gives an empty result; other
-columns pass through.
+of zero, which is the bias alone; a very long text is averaged whole; repeated
+rows score alike; without labels of both classes every score is 0.5; an empty
+table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,8 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, is_held_out
-from .quality_rules import repeated
+from .common import WordTable, is_held_out, words_in_parts
 from .samples import PER_CLASS, labelled_texts
 from .subwords import char_ngrams, word_hashes
 
@@ -35,8 +37,8 @@ STEPS = 500
 BATCH = 32
 RATE = 0.3
 THRESHOLD = 0.3
-#: Pseudo-words, one for each repetition: averages alone can't tell a repeated word from a common one.
-MARKERS = (b"\x00same", b"\x00again")
+#: Words of a text that are scored at once; bounds memory.
+AT_ONCE = 1 << 18
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,24 +47,20 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([word_hashes(words, BUCKETS), grams]), np.concatenate([np.arange(len(words)), owner])
 
 
-def markers(ids: np.ndarray) -> tuple[int, int]:
-    """Words equal to the word before, and words in three-word windows found twice or more."""
-    return int((ids[1:] == ids[:-1]).sum()), repeated(ids)
+def pair_features(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words, whose hashes these are."""
+    return (hashes[1:] - hashes[:-1]) % BUCKETS
 
 
 def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text with their shares of all its features."""
-    counts: dict[bytes, int] = {}
     words = text.split()
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    if words:
-        number = {w: i for i, w in enumerate(counts)}
-        for w, n in zip(MARKERS, markers(np.fromiter((number[w] for w in words), np.int64, len(words))), strict=True):
-            if n:
-                counts[w] = counts.get(w, 0) + n
-    f, owner = word_features(list(counts))
-    total = np.bincount(f, np.fromiter(counts.values(), float, len(counts))[owner], BUCKETS) if len(f) else np.zeros(BUCKETS)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    f, owner = word_features(list(number))
+    total = np.bincount(f, np.bincount(ids, minlength=len(number))[owner], BUCKETS) if len(f) else np.zeros(BUCKETS)
+    if len(ids) > 1:
+        total += np.bincount(pair_features(word_hashes(list(number), BUCKETS)[ids]), minlength=BUCKETS)
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), (total[ids] / max(total.sum(), 1)).astype(np.float32)
 
@@ -106,36 +104,43 @@ def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 7
 
 
 class _Scorer(WordTable):
-    """Per distinct word: the sum of its features' weights and their number."""
+    """Per distinct word: the sum of its features' weights, their number and its hash."""
 
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
         self.reset()
-        f, owner = word_features(list(MARKERS))
-        self.marks = list(zip(np.bincount(owner, weights[f], len(MARKERS)), np.bincount(owner, minlength=len(MARKERS)), strict=True))
         super().__init__()
 
     def reset(self) -> None:
-        self.sums, self.counts = np.zeros(0), np.zeros(0)
+        self.used = 0
+        self.sums, self.counts, self.hashes = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.int64)
 
     def grow(self) -> None:
         if self.fresh:
             f, owner = word_features(self.fresh)
-            self.sums = np.concatenate([self.sums, np.bincount(owner, self.weights[f], len(self.fresh))])
-            self.counts = np.concatenate([self.counts, np.bincount(owner, minlength=len(self.fresh))])
-            self.fresh = []
+            n = self.used + len(self.fresh)
+            if n > len(self.sums):
+                more = max(n, 2 * self.used) - self.used
+                self.sums, self.counts, self.hashes = (np.concatenate([x[: self.used], np.zeros(more, x.dtype)]) for x in (self.sums, self.counts, self.hashes))
+            new = slice(self.used, n)
+            self.sums[new] = np.bincount(owner, self.weights[f], len(self.fresh))
+            self.counts[new] = np.bincount(owner, minlength=len(self.fresh))
+            self.hashes[new] = f[: len(self.fresh)]
+            self.used, self.fresh = n, []
 
     def mean(self, text: str | None) -> float:
-        self.start()
-        words = text.encode("utf-8", "replace").split() if text else ()
-        if not words:
-            return 0.0
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        self.grow()
-        total, n = self.sums[ids].sum(), self.counts[ids].sum()
-        for (weight, features), times in zip(self.marks, markers(ids), strict=True):
-            total, n = total + times * weight, n + times * features
-        return total / n
+        total = n = 0.0
+        last = None
+        for part in words_in_parts(text, AT_ONCE):
+            self.start()
+            ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            self.grow()
+            hashes = self.hashes[ids] if last is None else np.concatenate([[last], self.hashes[ids]])
+            pairs = pair_features(hashes)
+            total += self.sums[ids].sum() + self.weights[pairs].sum(dtype=float)
+            n += self.counts[ids].sum() + len(pairs)
+            last = hashes[-1]
+        return total / n if n else 0.0
 
 
 def scorer(weights: np.ndarray, bias: float):
