@@ -7,17 +7,20 @@ say something. Two gated recurrent layers read a window forwards and
 backwards, attention pools their states, and a logistic unit scores the
 window. Windows of ``WINDOW`` words start every ``STEP`` words and cover every
 whole text, so each place is seen in two windows; a text scores as its worst
-window, through a slope and shift fitted on the sample.
+window, through a shift fitted on the sample.
 
 Training runs in numpy on a bounded sample of labelled documents
-(``samples.PER_CLASS`` of either class). As a label is of the text and not of
-a window, a toxic text trains through the windows that look worst so far (at
-first by log odds of their words and n-grams), a clean one through windows at
-random and those that look worst.
+(``samples.PER_CLASS`` of either class). All vectors start at zero and are
+learned through the network alone. As a label is of the text and not of a
+window, a toxic text trains first through windows at random, then through
+those that look worst so far; a clean one through windows at random and those
+that look worst.
 
 Defined cases: null and empty texts, and texts of blanks, have no window and
-score 0; repeated rows score alike; without labels of both classes every text
-scores 0; an empty table gives an empty result.
+score 0; a very long text is read in stretches that share a window, so none is
+missed; repeated rows score alike; without labels of both classes every text
+scores 0; an empty table gives an empty result; other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, is_held_out
+from .common import WordTable, is_held_out, words_in_parts
 from .samples import PER_CLASS, labelled_texts
 from .subwords import char_ngrams
 
@@ -40,10 +43,11 @@ CHAR_BUCKETS, CHAR_SIZES = 1 << 15, (3, 4, 5, 6, 8)
 #: How much more the n-grams at the front of a word count than others.
 FRONT = 4.0
 MAX_VOCABULARY, MIN_DOCS = 30_000, 2
-#: Log odds of a feature seen in n texts count n / (n + SHRINK).
-SHRINK = 8.0
-VECTOR_RATE = 1.0
-ROUNDS, STEPS, BATCH, RATE = 3, 120, 128, 0.02
+#: Learning rates, of the vectors (plain descent) and of all else (Adam).
+VECTOR_RATE, RATE = 20.0, 0.02
+ROUNDS, STEPS, BATCH = 3, 150, 128
+#: Words whose n-grams are computed together; words of a long text that are read together.
+WORDS_AT_ONCE, STRETCH = 1 << 14, STEP << 14
 #: Windows scored at once; bounds the memory of scoring.
 CHUNK = 4096
 THRESHOLD = 0.5
@@ -58,10 +62,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, word number, share) of the character n-grams; a word's shares sum to 1."""
-    grams, owner, front = char_ngrams(words, CHAR_SIZES, CHAR_BUCKETS)
-    weight = np.where(front, FRONT, 1.0)
-    return grams, owner, (weight / np.maximum(np.bincount(owner, weight, len(words)), 1)[owner]).astype(_F32)
+    """Buckets and shares of the words' character n-grams, word after word, and where each word's start; a word's shares sum to 1."""
+    parts, lens = [], []
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        part = words[a : a + WORDS_AT_ONCE]
+        grams, owner, front = char_ngrams(part, CHAR_SIZES, CHAR_BUCKETS)
+        weight = np.where(front, FRONT, 1.0)
+        share = weight / np.maximum(np.bincount(owner, weight, len(part)), 1)[owner]
+        order = np.argsort(owner, kind="stable")
+        parts.append((grams[order].astype(np.int32), share[order].astype(_F32)))
+        lens.append(np.bincount(owner, minlength=len(part)))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, _F32), np.zeros(1, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.append(0, np.cumsum(np.concatenate(lens)))
 
 
 def window_starts(n: int) -> list[int]:
@@ -84,7 +97,6 @@ def windows_of(ids: np.ndarray, pad: int) -> np.ndarray:
 class Network:
     vocabulary: dict[bytes, int]
     p: dict[str, np.ndarray]
-    slope: float = 1.0
     shift: float = 0.0
     seen: dict[str, tuple] = field(default_factory=dict)
 
@@ -102,9 +114,12 @@ class Network:
         """The input vector of each word; a last row of zeros is for padding."""
         x = np.zeros((len(words) + 1, WORD_DIM + CHAR_DIM), _F32)
         x[:-1, :WORD_DIM] = self.p["word"][np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))]
-        grams, owner, share = grams_of(words)
-        for d in range(CHAR_DIM):
-            x[:-1, WORD_DIM + d] = np.bincount(owner, share * self.p["char"][grams, d], len(words))
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            part = words[a : a + WORDS_AT_ONCE]
+            grams, share, first = grams_of(part)
+            owner = np.repeat(np.arange(len(part)), np.diff(first))
+            for d in range(CHAR_DIM):
+                x[a : a + len(part), WORD_DIM + d] = np.bincount(owner, share * self.p["char"][grams, d], len(part))
         return x
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +165,8 @@ class Network:
         c = np.einsum("tb,tbh->bh", a, states)
         return c @ self.p["wo"] + self.p["bo"][0], u, a, c
 
-    def train(self, ids: np.ndarray, y: np.ndarray, words: tuple, rate: float) -> None:
-        """One step, by Adam but for the vectors, on windows (word numbers of ``words``) with labels y."""
+    def gradients(self, ids: np.ndarray, y: np.ndarray, words: tuple) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss of windows (word numbers of ``words``, below 0 for padding) with labels y, and its gradient by parameter."""
         vocab, grams, shares, first = words
         own = np.unique(ids[ids >= 0])
         local = np.searchsorted(own, ids)
@@ -171,6 +186,7 @@ class Network:
         sb, kb = self._read(part, gb, "b", mask, True)
         states = np.concatenate([sf, sb], 2)
         logit, u, a, c = self._pool(states, mask)
+        loss = float(np.mean(np.logaddexp(0, np.where(y > 0, -logit, logit).astype(float))))
         grad: dict[str, np.ndarray] = {}
         dl = ((_sigmoid(logit) - y) / len(y)).astype(_F32)
         grad["wo"], grad["bo"] = c.T @ dl, np.array([dl.sum()], _F32)
@@ -205,6 +221,11 @@ class Network:
         grad["word"] = gw
         dx = dx[:, WORD_DIM:]
         grad["char"] = np.stack([np.bincount(flat, share * dx[owner, d], CHAR_BUCKETS) for d in range(CHAR_DIM)], 1).astype(_F32)
+        return loss, grad
+
+    def train(self, ids: np.ndarray, y: np.ndarray, words: tuple, rate: float) -> None:
+        """One step, by Adam but for the vectors."""
+        grad = self.gradients(ids, y, words)[1]
         for k in ("word", "char"):  # plain descent: what many windows share moves more than what one holds
             self.p[k] -= _F32(VECTOR_RATE * rate / RATE) * grad.pop(k)
         for k, g in grad.items():
@@ -221,78 +242,63 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 3) -> Network | None:
     rng = np.random.default_rng(seed)
     y = np.array(labels)
     number: dict[bytes, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int32) for t in texts]
     words = list(number)
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(words))
     common = np.argsort(-df, kind="stable")[:MAX_VOCABULARY]
     vocabulary = {words[i]: k for k, i in enumerate(common[df[common] >= MIN_DOCS])}
     net = Network.new(vocabulary, seed)
-    grams, owner, shares = grams_of(words)
-    order = np.argsort(owner, kind="stable")
-    grams, shares, first = grams[order], shares[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-    table = (np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words)), grams, shares, first)
+    table = (np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words)), *grams_of(words))
 
     windows = [windows_of(d, -1) for d in docs]
-    of = np.repeat(np.arange(len(docs)), [len(w) for w in windows])
-    every = np.concatenate(windows)
-    if not len(every):
+    counts = np.array([len(w) for w in windows])
+    of, every = np.repeat(np.arange(len(docs)), counts), np.concatenate(windows)
+    starts = np.append(0, np.cumsum(counts))
+    toxic_docs, clean = np.flatnonzero((y == 1) & (counts > 0)), np.flatnonzero(y[of] == 0)
+    if not len(toxic_docs) or not len(clean):
         return None
-    # The vectors' first dimension starts at the log odds, so that training needn't find the words first.
-    sets = [np.unique(d) for d in docs]
-    odds = _odds(sets, y, len(words))
-    held = [np.unique(np.concatenate([grams[first[i] : first[i + 1]] for i in s])) if len(s) else s for s in sets]
-    known = np.array(list(vocabulary.values()), np.int64)
-    net.p["word"][known, 0] = odds[[number[w] for w in vocabulary]] / 2
-    net.p["char"][:, 0] = _odds(held, y, CHAR_BUCKETS) / 2
-    x = net.inputs(words)
-    worst = np.maximum(x[:, 0], x[:, WORD_DIM])[every]
-    worst[every < 0] = -9
-    worst = np.sort(worst, 1)[:, -3:].sum(1)
-    toxic_docs, clean = np.flatnonzero(y == 1), np.flatnonzero(y[of] == 0)
-    starts = np.searchsorted(of, np.arange(len(docs) + 1))
+    worst: np.ndarray | None = None
     for turn in range(ROUNDS):
-        toxic = []
-        peak = np.array([worst[starts[i] : starts[i + 1]].max() if starts[i + 1] > starts[i] else -99 for i in toxic_docs])
-        # Some texts marked toxic hold nothing that tells; learning them by heart would flag clean ones.
-        enough = np.quantile(peak, 0.2) if turn == 0 else min(0.0, np.quantile(peak, 0.5))
-        for i in toxic_docs[peak >= enough]:
-            mine = np.arange(starts[i], starts[i + 1])
-            if len(mine):
-                toxic.append(mine[np.argsort(-worst[mine], kind="stable")[: 1 + (turn > 0 and int((worst[mine] > 2).sum()) // 2)]])
-        toxic = np.concatenate(toxic) if toxic else np.zeros(0, int)
-        hard = clean[np.argsort(-worst[clean], kind="stable")[: max(64, len(clean) // 20)]]
-        if not len(toxic) or not len(clean):
-            return None
+        if worst is None:  # any window of a toxic text, each text alike
+            toxic, hard = np.flatnonzero(y[of] == 1), clean
+            chance = 1 / counts[of[toxic]] / len(toxic_docs)
+        else:
+            toxic, chance = _suspects(worst, starts, toxic_docs, turn > 1), None
+            hard = clean[np.argsort(-worst[clean], kind="stable")[: max(64, len(clean) // 20)]]
         for step in range(STEPS):
-            pick = np.concatenate([rng.choice(toxic, BATCH // 2), rng.choice(hard, BATCH // 4), rng.choice(clean, BATCH // 4)])
+            pick = np.concatenate([rng.choice(toxic, BATCH // 2, p=chance), rng.choice(hard, BATCH // 4), rng.choice(clean, BATCH // 4)])
             net.train(every[pick], (y[of[pick]]).astype(_F32), table, RATE * (1 - 0.7 * step / STEPS) / (1 + turn))
         gf, gb = net.gates(net.inputs(words))
-        worst = net.score(np.where(every < 0, len(words), every), gf, gb, len(words))
-    top = np.array([worst[starts[i] : starts[i + 1]].max() if starts[i + 1] > starts[i] else -20 for i in range(len(docs))])
-    net.slope, net.shift = _calibrate(top, y)
+        worst = net.score(every, gf, gb, -1)
+    net.shift = _calibrate(np.array([worst[starts[i] : starts[i + 1]].max() if counts[i] else -20 for i in range(len(docs))]), y)
     net.seen = {}
     return net
 
 
-def _odds(sets: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
-    """Shrunk log odds for toxic of the features that texts hold."""
-    none = np.zeros(0, np.int64)
-    one = np.bincount(np.concatenate([none, *(s for s, t in zip(sets, y, strict=True) if t)]), minlength=n)
-    two = np.bincount(np.concatenate([none, *(s for s, t in zip(sets, y, strict=True) if not t)]), minlength=n)
-    n1, n2 = (y == 1).sum(), (y == 0).sum()
-    odds = np.log((one + n1 / (n1 + n2)) / (n1 + 1)) - np.log((two + n2 / (n1 + n2)) / (n2 + 1))
-    return odds * (one + two) / (one + two + SHRINK)
+def _suspects(worst: np.ndarray, starts: np.ndarray, toxic_docs: np.ndarray, several: bool) -> np.ndarray:
+    """The windows that toxic texts train through: the worst of each, or several of those that look bad.
 
+    Some texts marked toxic hold nothing that tells; learning them by heart
+    would flag clean ones, so those whose worst window looks best are left out.
+    """
+    peak = np.array([worst[starts[i] : starts[i + 1]].max() for i in toxic_docs])
+    enough = min(0.0, np.quantile(peak, 0.5)) if several else np.quantile(peak, 0.2)
+    out = []
+    for i in toxic_docs[peak >= enough]:
+        mine = np.arange(starts[i], starts[i + 1])
+        out.append(mine[np.argsort(-worst[mine], kind="stable")[: 1 + (several and int((worst[mine] > 2).sum()) // 2)]])
+    return np.concatenate(out)
 
-def _calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift after which 0.5 lies in the gap where least is wrong; a clean text flagged counts double."""
+
+def _calibrate(top: np.ndarray, y: np.ndarray) -> float:
+    """The shift after which 0.5 lies in the gap where least is wrong; a clean text flagged counts three times."""
     order = np.argsort(top, kind="stable")
     s, t = top[order], y[order]
-    wrong = np.concatenate([[2 * (t == 0).sum()], 2 * ((t == 0).sum() - np.cumsum(t == 0)) + np.cumsum(t == 1)])
+    wrong = np.concatenate([[3 * (t == 0).sum()], 3 * ((t == 0).sum() - np.cumsum(t == 0)) + np.cumsum(t == 1)])
     best = np.flatnonzero(wrong == wrong.min())
     k = best[len(best) // 2]
     clean, toxic = s[max(k - 1, 0)], s[min(k, len(s) - 1)]
-    return 1.0, float(-(clean + NEAR_TOXIC * (toxic - clean)))
+    return float(-(clean + NEAR_TOXIC * (toxic - clean)))
 
 
 class _Scorer(WordTable):
@@ -323,23 +329,24 @@ class _Scorer(WordTable):
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities; texts go through the network together, ``CHUNK`` windows or so at once."""
-        out = np.zeros(len(texts))
+        top = np.full(len(texts), -np.inf)
         group: list[tuple[int, np.ndarray]] = []
         held = 0
         for i, text in enumerate(texts):
-            words = text.encode("utf-8", "replace").lower().split() if text else ()
-            if not words:
-                continue
-            ids = windows_of(np.fromiter(map(self.__getitem__, words), np.int32, len(words)), -1)
-            group.append((i, ids))
-            held += len(ids)
-            if held >= CHUNK:
-                self._flush(group, out)
-                group, held = [], 0
-        self._flush(group, out)
-        return out
-
-    def _flush(self, group: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+            before: list[bytes] = []
+            for part in words_in_parts(text, STRETCH, lower=True):
+                words = before + part  # the window that ends a stretch opens the next
+                before = words[-WINDOW:]
+                ids = windows_of(np.fromiter(map(self.__getitem__, words), np.int32, len(words)), -1)
+                group.append((i, ids))
+                held += len(ids)
+                if held >= CHUNK:
+                    self._flush(group, top)
+                    group, held = [], 0
+        self._flush(group, top)
+        return np.where(np.isfinite(top), 1 / (1 + np.exp(-np.clip(top + self.net.shift, -500, 500))), 0.0)
+
+    def _flush(self, group: list[tuple[int, np.ndarray]], top: np.ndarray) -> None:
         if group:
             self.grow()
             ids = np.concatenate([g[1] for g in group])
@@ -348,8 +355,7 @@ class _Scorer(WordTable):
                 self.gf, self.gb = (np.concatenate([g, np.zeros((1, _H3), _F32)]) for g in (self.gf, self.gb))
             logit = self.net.score(ids, self.gf, self.gb, self.used)
             first = np.cumsum([0] + [len(g[1]) for g in group[:-1]])
-            top = np.maximum.reduceat(logit, first)
-            out[[g[0] for g in group]] = 1 / (1 + np.exp(-np.clip(self.net.slope * top + self.net.shift, -500, 500)))
+            np.maximum.at(top, [g[0] for g in group], np.maximum.reduceat(logit, first))
         self.start()
 
 
