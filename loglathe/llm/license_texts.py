@@ -1,4 +1,23 @@
-"""Short notices of public licences: (licence, kind) -> text."""
+"""Notices and full texts of public licences: (licence, kind) -> text (fixed values)."""
+
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the Software."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+        OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
 TEMPLATES: dict[tuple[str, str], str] = {
     ("Apache-2.0", "line"): "Licensed under the Apache License, Version 2.0.",
@@ -9,12 +28,13 @@ TEMPLATES: dict[tuple[str, str], str] = {
         the specific language governing permissions and limitations under the License.""",
     ("MIT", "line"): "Released under the MIT License.",
     ("MIT", "line-2"): "Licensed under the MIT License.",
-    ("MIT", "grant"): """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
-        associated documentation files (the "Software"), to deal in the Software without restriction, including without
-        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice shall be included in all copies or substantial portions of
-        the Software.""",
+    ("MIT", "grant"): _MIT_GRANT,
+    ("MIT", "full"): _MIT_GRANT
+    + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+        IN THE SOFTWARE.""",
     ("GPL-3.0", "line"): "This work is licensed under the GNU General Public License, version 3.",
     ("GPL-3.0", "notice"): """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
@@ -25,11 +45,11 @@ TEMPLATES: dict[tuple[str, str], str] = {
     ("CC-BY-SA-4.0", "line"): "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ("ISC", "grant"): """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    ("BSD", "grant"): """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
-        this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
-        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
-        provided with the distribution.""",
+    ("BSD", "grant"): _BSD_HEAD,
+    ("BSD-2-Clause", "full"): f"{_BSD_HEAD} {_BSD_END}",
+    ("BSD-3-Clause", "full"): f"""{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may
+        be used to endorse or promote products derived from this software without specific prior written permission.
+        {_BSD_END}""",
     ("MPL-2.0", "notice"): """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
         MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     ("Unlicense", "notice"): "This is free and unencumbered software released into the public domain.",

@@ -15,17 +15,21 @@ occur in the window. Windows of one template that overlap are one match.
 
 The templates are a fixed list of a few kB; the scan is one pass over the
 texts without a shuffle. Many texts are hashed together; shingles across two
-texts never match.
+texts never match. A text of more than ``CHUNK`` words goes in stretches that
+overlap by two of the largest windows, so memory doesn't depend on its length
+(but for its own bytes) and every window lies wholly in one stretch.
 
 Defined cases: null and empty texts match nothing; repeated rows match alike;
-ties between templates are all reported; an empty table gives an empty result;
-other columns are ignored.
+a very long text is scanned whole; ties between templates are all reported; an
+empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,10 +42,10 @@ from .license_texts import TEMPLATES
 from .near_dedup import Hashes
 
 SHINGLE, PERCENT, BANDS = 5, 80, 48
-#: Words hashed together; bounds memory but for a longer text, which goes alone.
-CHUNK = 50_000
+#: Words hashed together; bounds memory.
+CHUNK = 1 << 16
 
-_WORDS = re.compile(rb"[a-z0-9\x80-\xff]+").findall
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _rng = np.random.default_rng(20240307)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
@@ -49,7 +53,21 @@ _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 
 
 def words_of(text: str) -> list[bytes]:
-    return _WORDS(text.encode("utf-8", "replace").lower())
+    return _WORD.findall(text.encode("utf-8", "replace").lower())
+
+
+def stretches_of(text: str, most: int, overlap: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The words of a text, ``most`` at a time and with the last ``overlap`` before them, and the number of the first."""
+    words = (m[0] for m in _WORD.finditer(text.encode("utf-8", "replace").lower()))
+    held = list(islice(words, most))
+    start = 0
+    while held:
+        yield start, held
+        new = list(islice(words, most))
+        if not new:
+            break
+        start += max(0, len(held) - overlap)
+        held = held[-overlap:] + new
 
 
 def _samples(h: np.ndarray) -> np.ndarray:
@@ -83,6 +101,10 @@ class Scanner:
             h = np.unique(h[whole])
             self.templates.append((name, kind, h, _samples(h).min(1), len(words_of(text)) < SHINGLE))
         self.sizes = sorted({len(t[2]) for t in self.templates})
+        shapes = [window_shape(n) for n in self.sizes]
+        #: Of two stretches: a window of any size and place lies in one of them.
+        self.overlap = max(step * (steps + 1) for step, steps in shapes) + SHINGLE
+        self.overlap += -self.overlap % max(step for step, _ in shapes)
 
     def _shingles(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shingle hashes of texts end to end, where each text starts, and which are whole. One place a word; those across two texts match nothing."""
@@ -106,21 +128,21 @@ class Scanner:
     def scan(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text its matches: licence, kind, start, end (words), held, of."""
         out: list[list[tuple]] = [[] for _ in texts]
-        group, held = [], 0
+        group: list[tuple[int, int, list[bytes]]] = []
+        held = 0
         for i, text in enumerate(texts):
-            words = words_of(text) if text else []
-            if words:
-                group.append((i, words))
+            for start, words in stretches_of(text or "", max(CHUNK, 2 * self.overlap), self.overlap):
+                group.append((i, start, words))
                 held += len(words)
-            if held >= CHUNK:
-                self._group(group, out)
-                group, held = [], 0
+                if held >= CHUNK:
+                    self._group(group, out)
+                    group, held = [], 0
         if group:
             self._group(group, out)
         return out
 
-    def _group(self, group: list[tuple[int, list[bytes]]], out: list[list[tuple]]) -> None:
-        h, first, _ = self._shingles([w for _, w in group])
+    def _group(self, group: list[tuple[int, int, list[bytes]]], out: list[list[tuple]]) -> None:
+        h, first, _ = self._shingles([w for _, _, w in group])
         met = self._retrieve(h)
         ends = np.append(first[1:], len(h))
         for t, a, b in met:
@@ -134,20 +156,22 @@ class Scanner:
                     continue
                 found = len(np.unique(h[lo:hi][at]))
                 if 100 * found >= self.percent * len(own):
-                    start, end = int(lo + at[0] - first[d]), int(min(lo + at[-1] + (len(group[d][1]) if short else SHINGLE), ends[d]) - first[d])
-                    self._add(out[group[d][0]], (name, kind, start, end, found, len(own)))
+                    i, before, words = group[d]
+                    start, end = int(lo + at[0] - first[d]), int(min(lo + at[-1] + (len(words) if short else SHINGLE), ends[d]) - first[d])
+                    self._add(out[i], (name, kind, before + start, before + end, found, len(own)))
         self.words.start()
 
     @staticmethod
     def _add(matches: list[tuple], new: tuple) -> None:
-        """Windows come in order: one that overlaps the template's last match extends it."""
+        """A window that overlaps a match of its template extends it; those before the last matter where stretches overlap."""
         for i in range(len(matches) - 1, -1, -1):
             old = matches[i]
             if old[:2] == new[:2]:
-                if new[2] < old[3]:
+                if new[2] < old[3] and old[2] < new[3]:
                     matches[i] = (*old[:2], min(old[2], new[2]), max(old[3], new[3]), max(old[4], new[4]), old[5])
                     return
-                break
+                if old[3] <= new[2]:
+                    break
         matches.append(new)
 
     def _retrieve(self, h: np.ndarray) -> list[tuple[int, int, int]]:

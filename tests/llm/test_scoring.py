@@ -1,6 +1,8 @@
 """Classifiers, rules and licence scans."""
 
 import random
+import re
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -233,6 +235,57 @@ def test_band_settings_guarantee_collisions():
     assert all(licenses.miss_probability(n) < 1e-5 for n in licenses.Scanner().sizes)
 
 
+def brute_containment(text, template):
+    """The most of a template's shingles that any stretch of a quarter more than its length holds, and the template's size."""
+    words, own = (re.findall(rb"[a-z0-9\x80-\xff]+", x.encode().lower()) for x in (text, template))
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+    g, want = grams(words), set(grams(own))
+    size = len(want) + len(want) // 4
+    return max((len(want & set(g[a : a + size])) for a in range(max(1, len(g) - size + 1))), default=0), len(want)
+
+
+def test_licences_equal_brute_force(vocabulary, monkeypatch):
+    """Every stretch that holds four fifths is found, nothing that holds less; in parts of any length."""
+    rng = random.Random(11)
+    texts = []
+    for (_, kind), text in license_texts.TEMPLATES.items():
+        for edits in (0, 1, 2, 5):
+            words = text.split()
+            for _ in range(edits * len(words) // 60 if kind != "line" else 0):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            pad = [rng.choice(vocabulary) for _ in range(rng.randrange(300))]
+            texts.append(" ".join(pad + words + pad[: rng.randrange(300)]))
+    texts += [" ".join(texts[:12]), texts[5] + " " + texts[5]]
+    for chunk in (1 << 16, 1):
+        monkeypatch.setattr(licenses, "CHUNK", chunk)
+        scanner = licenses.Scanner()
+        for text, found in zip(texts, scanner.scan(texts)):
+            by = {f[:2]: f for f in sorted(found, key=lambda f: f[4])}
+            for key, template in license_texts.TEMPLATES.items():
+                held, size = brute_containment(text, template)
+                if 100 * held >= 80 * size:
+                    assert key in by and by[key][4] >= held, (key, chunk)
+                elif key in by:  # a window is longer than the stretch
+                    words = licenses.words_of(text)[by[key][2] : by[key][3]]
+                    inside = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+                    own = licenses.words_of(template)
+                    assert 100 * len(inside & {tuple(own[k : k + 5]) for k in range(len(own) - 4)}) >= 80 * size
+
+
+def test_long_text_in_bounded_memory():
+    """Fifty megabytes and two notices, of which one lies across a seam, in some hundred megabytes beyond the text's bytes."""
+    notice = license_texts.TEMPLATES["ISC", "grant"]
+    text = " ".join([*("filler%d" % (i % 977) for i in range(licenses.CHUNK - 12)), notice, *("longerfillerwords%d" % (i % 877) for i in range(2_500_000)), notice])
+    tracemalloc.start()
+    try:
+        found = licenses.Scanner().scan([text])[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(text) > 50_000_000 and peak < 3 * len(text) + 150_000_000
+    assert sorted({f[:2] for f in found}) == [("ISC", "grant")] and len(found) == 2 and all(f[4] == f[5] for f in found)
+
+
 def test_licence_scan(make_docs, vocabulary):
     rng = random.Random(5)
     filler = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -240,10 +293,16 @@ def test_licence_scan(make_docs, vocabulary):
     for i, ((name, kind), text) in enumerate(license_texts.TEMPLATES.items()):
         docs.append((i, f"{filler(rng.randrange(400))} {text.upper() if i % 2 else text} {filler(rng.randrange(400))}"))
         want[i] = (name, kind)
+    docs += [docs[0], docs[0], (None, docs[1][1]), (905, text := " ".join([license_texts.TEMPLATES["MIT", "line"], license_texts.TEMPLATES["MIT", "line-2"]])), (905, text)]
     docs += [(900, filler(3000)), (901, None), (902, ""), (903, filler(40_000) + " " + license_texts.TEMPLATES["ISC", "grant"]), (904, "MIT License")]
     found = licenses.scan(make_docs(docs)).collect()
     by = {(r.doc_id, r.license, r.kind): r for r in found}
     for i, key in want.items():
         assert by[(i, *key)].containment == 1.0, key
+    n_of = lambda i, key: sum((r.doc_id, r.license, r.kind) == (i, *key) for r in found)
+    assert n_of(0, want[0]) == 3 and n_of(None, want[1]) == 1  # repeated rows match alike
+    assert n_of(905, ("MIT", "line")) == n_of(905, ("MIT", "line-2")) == 2
+    clash = make_docs(docs).withColumnsRenamed({"__js": "m", "n_words": "license"})
+    assert licenses.scan(clash).count() == len(found)
     assert (903, "ISC", "grant") in by and not {r.doc_id for r in found} & {900, 901, 902, 904}
     assert licenses.scan(make_docs([])).count() == 0
