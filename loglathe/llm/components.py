@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,14 +26,20 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "stars")
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large-star")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
-        tied = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = materialise(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        tied = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = tied.select("a", F.col("m").alias("b")).unionAll(tied.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        e = materialise(small, "small-star")
-        before, state = state, _state(e)
+        small = materialise(small, "small-star")
+        release(e, large)
+        e, before = small, state
+        state = _state(e)
         if state == before:
             break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return _named(e)
+
+
+def _named(e: DataFrame) -> DataFrame:
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._loglathe_path = e.__dict__.pop("_loglathe_path", None)
+    return out

@@ -134,4 +134,27 @@ r AS (
 SELECT * FROM r WHERE rank <= 20
 """
 
-ORACLES = {"op4_top_k": OP4_SQL, "op6_arc_to_warc": OP6_SQL, "op9_mix_sources": OP9_SQL, "op10_line_dedup": OP10_SQL}
+OP2_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle
+  FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (
+  SELECT x, y FROM k JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (
+  SELECT doc_id, doc_id AS root FROM n
+  UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id, coalesce(m.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+     LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+ORACLES = {"op2_near_dedup": OP2_SQL, "op4_top_k": OP4_SQL, "op6_arc_to_warc": OP6_SQL, "op9_mix_sources": OP9_SQL, "op10_line_dedup": OP10_SQL}

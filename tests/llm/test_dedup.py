@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -73,6 +74,17 @@ def test_drop_near(make_docs, corpus):
     assert near_dedup.drop_near(make_docs([])).count() == 0
 
 
+def test_intermediate_tables_go(spark, make_docs, corpus):
+    """A run leaves no more than what its result reads."""
+    from loglathe.llm.common import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file://")) / "loglathe" / spark.sparkContext.applicationId
+    before = set(top.glob("*")) if top.exists() else set()
+    kept = near_dedup.drop_near(make_docs(corpus))
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.glob("*")) - before}
+    assert left <= {"near-dropped", "members", "profiles", "comps"} and kept.count()
+
+
 def test_sketches_never_rule_out_what_is_similar(spark, vocabulary):
     from pyspark.sql import functions as F
 
@@ -87,12 +99,29 @@ def test_sketches_never_rule_out_what_is_similar(spark, vocabulary):
             sets = [words.shingles(" ".join(x), 5) for x in (base, other)]
             row = [near_dedup.similar(*sets, 80)]
             for s in sets:
-                samples, sketch = near_dedup.odd_sketch(s)
-                row += [len(s), samples, sketch.tolist(), near_dedup.parities(s).tolist() if len(s) <= near_dedup.WHOLE else []]
+                row += [len(s), near_dedup.odd_sketch(s).tolist()]
             rows.append(row)
-    df = spark.createDataFrame(rows, "near boolean, n_x long, samples_x long, sketch_x array<long>, whole_x array<long>, n_y long, samples_y long, sketch_y array<long>, whole_y array<long>")
-    out = df.select("near", near_dedup.may_be_similar("x", "y", 80).alias("may")).where(F.col("near")).collect()
-    assert len(out) > 20 and all(r.may for r in out)
+    df = spark.createDataFrame(rows, "near boolean, n_x long, sketch_x array<long>, n_y long, sketch_y array<long>")
+    def with_sides(df):
+        sides = [near_dedup.emptiness(F.col(f"n_{x}"), 80) for x in "xy"]
+        return df.withColumns({f"{c}_{x}": e for x, s in zip("xy", sides) for c, e in zip(("empty", "root"), s)})
+
+    out = with_sides(df).select("near", near_dedup.may_be_similar("x", "y", 80).alias("may")).collect()
+    assert sum(r.near for r in out) > 20 and all(r.may for r in out if r.near)
+    far = [words.shingles(" ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), n)), 5) for n in (300, 300, 9000, 9000)]
+    rows = [(len(a), near_dedup.odd_sketch(a).tolist(), len(b), near_dedup.odd_sketch(b).tolist()) for a, b in (far[:2], far[2:])]
+    df = spark.createDataFrame(rows, "n_x long, sketch_x array<long>, n_y long, sketch_y array<long>")
+    assert not any(r[0] for r in with_sides(df).select(near_dedup.may_be_similar("x", "y", 80)).collect())
+
+
+def test_long_texts_are_hashed_whole(vocabulary, monkeypatch):
+    rng = random.Random(1)
+    words = [rng.choice(vocabulary) for _ in range(900)]
+    want = near_dedup.Hashes().shingles(" ".join(words), 4)
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 7)
+    assert (near_dedup.Hashes().shingles("\n".join(words), 4) == want).all()
+    million = near_dedup.Hashes().shingles("a b c d e f g " * 300_000 + "end", 4)
+    assert len(million) == 8
 
 
 def brute_lines(docs):
