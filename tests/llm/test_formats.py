@@ -35,7 +35,7 @@ def test_top_k(spark, n):
         for i in range(100, 160):
             rows[i] = (i, rows[0][1])  # many equal vectors
         rows += [(n, None), (n + 1, [1.0] * 7 + [None]), (n + 2, [float("nan")] * 8), (None, [1.0] * 8), rows[40], (n + 3, [float("inf")] + [0.0] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "vec_id long, embedding array<float>, dist double, cell string")
     got = defaultdict(list)
     for r in topk.search(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -43,6 +43,24 @@ def test_top_k(spark, n):
     assert dict(got) == {q: x for q, x in brute_top(rows, 20, 20).items() if x}
 
 
+def test_clustered_vectors_are_mostly_skipped(spark, monkeypatch):
+    """Of the blocks that a group of queries could meet, few are fetched where the data has clusters; the result stays exact."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(30, 12))
+    rows = [(i, (centre[i % 30] + rng.normal(scale=0.02, size=12)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "GROUP", 32)
+    p = topk.prepare(df)
+    assert p.groups.count() >= 300 // 32 and p.n_blocks >= 6000 // 64
+    assert p.pairs.count() < 0.3 * p.groups.count() * p.n_blocks
+    assert p.pairs.select("batch", "block").distinct().count() == p.pairs.count()
+    got = defaultdict(list)
+    for r in topk.search(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == brute_top(rows, 20, 20)
+
+
 def test_packing(make_docs):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
