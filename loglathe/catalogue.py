@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglathe.cli import main
 from loglathe.engine import query, run
-from loglathe.operators.records import Records
+from loglathe.errors import ProgramError
+from loglathe.operators.records import Records, from_table
+from loglathe.plans.program import parse_program
+from loglathe.sinks.formats import json_rows
 from loglathe.sources import tables
+from loglathe.sources.lines import read_lines
+from loglathe.streaming.windows import stream
 
 HOUR, DAY = 3_600_000, 86_400_000
 JAN = 1_704_067_200_000  # 2024-01-01
@@ -192,3 +202,130 @@ _add("map_json", _records_of('json | map { .k:num as k, from: "props" }', _json)
 _add("lineitem_sum", lambda s, d: _flat(query("sum(sum_over_time(l_quantity[52w])) by (l_returnflag, l_linestatus)", tables.lineitem(s, d), since=Y1992).df), _wrap(window_sql(LINEITEM, "l_quantity", "sum(x)", ["l_returnflag", "l_linestatus"], 364 * DAY, 364 * DAY, "TRUE", Y1992), "instant, l_returnflag, l_linestatus, round(value, 6) AS value"))
 _add("lineitem_price_sliding", lambda s, d: _flat(query("sum_over_time(l_extendedprice[12w])", tables.lineitem(s, d), since=Y1992, interval="4w").df), _wrap(window_sql(LINEITEM, "l_extendedprice", "sum(x)", ["l_returnflag", "l_linestatus"], 84 * DAY, 28 * DAY, "TRUE", Y1992), "instant, l_returnflag, l_linestatus, round(value, 6) AS value"))
 _add("orders_top", lambda s, d: _flat(query("topk(2, max_over_time(o_totalprice[52w])) by (o_orderstatus)", tables.orders(s, d), since=Y1992).df), f"SELECT instant, o_orderstatus, o_orderpriority, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY instant, o_orderstatus ORDER BY value DESC, o_orderpriority) AS n FROM ({window_sql(ORDERS, 'o_totalprice', 'max(x)', ['o_orderpriority', 'o_orderstatus'], 364 * DAY, 364 * DAY, 'TRUE', Y1992)})) WHERE n <= 2")
+
+# Text files as the source, in order of their names and whatever their sizes.
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = (top or f"file://{tempfile.mkdtemp(prefix='loglathe-')}").rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/loglathe-text/{uuid.uuid4().hex}")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return path.toString()
+
+
+def _files(spark: SparkSession, d: str) -> str:
+    """The log of events as three text files of unequal sizes."""
+    top, log = _scratch(spark), _log(spark, d)
+    for name, rows in (("a", F.col("line_no") <= 30), ("b", (F.col("line_no") > 30) & (F.col("line_no") <= 700)), ("c", F.col("line_no") > 700)):
+        log.where(rows).coalesce(1).sortWithinPartitions("line_no").select("value").write.text(f"{top}/{name}")
+    return f"{top}/*"
+
+
+LOG_TEXT = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || event_type || ' ' || value::VARCHAR"
+LOG_ROWS = "SELECT event_type AS kind, value, epoch_us(date_trunc('second', ts)) // 1000 AS ms, event_id AS line FROM events"
+CLOCK = "strftime(make_timestamp(instant * 1000), '%Y-%m-%dT%H:%M:%S.000')"
+_add("source_text", lambda s, d: read_lines(s, _files(s, d)), f"SELECT event_id + 1 AS line_no, {LOG_TEXT} AS value FROM events")
+
+
+def _rows(spark: SparkSession, texts) -> DataFrame:
+    """Formatted text as rows, a line each."""
+    return spark.createDataFrame([(x,) for t in texts for x in t.split("\n")], "text string")
+
+
+def _cli(spark: SparkSession, d: str) -> DataFrame:
+    out = io.StringIO()
+    assert main([f"{_LOG} | select sum(count_over_time(amount[1d])) by (kind)", _files(spark, d), "--since", "2024-01-03T00:00:00Z", "--until", "2024-01-09T23:59:59Z", "--interval", "2d"], stdout=out, spark=spark) == 0
+    return _rows(spark, [out.getvalue().rstrip("\n")])
+
+
+_counts_by_kind = window_sql(LOG_ROWS, "value", "count(*)", ["kind"], DAY, 2 * DAY, f"ms <= {JAN + 9 * DAY - 1000}", JAN + 2 * DAY)
+_add("cli_program", _cli, _wrap(_counts_by_kind, f"{CLOCK} || chr(9) || '{{kind=' || kind || '}}' || chr(9) || chr(9) || chr(9) || value AS text"))
+
+# Mapping: detected times in several spellings, text kept as text, arrays.
+def _spelt(spark: SparkSession, d: str) -> DataFrame:
+    """Lines whose time is spelt in one of five ways."""
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    ways = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), seconds.cast("string"), (seconds * 1000).cast("string"), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss '+0000'")]
+    return _lines(spark, d, F.concat(F.lit("["), F.element_at(F.array(*ways), (F.col("event_id") % 5 + 1).cast("int")), F.lit("]")), "event_type")
+
+
+_add("map_detected_times", _records_of(r"/^\[(.*)\] (\w+)$/ | map { .0:ts, .1 as kind }", _spelt), "SELECT event_id + 1 AS line_no, event_type AS l_kind, NULL::DOUBLE AS v_kind, epoch_us(date_trunc('second', ts)) // 1000 AS ts_ms FROM events")
+_add("map_text", _records_of(r"/(\w+) (\d+)/ | map { .0:str as kind, .1:str as user }", lambda s, d: _lines(s, d, "event_type", "user_id")), "SELECT event_id + 1 AS line_no, event_type AS l_kind, user_id::VARCHAR AS l_user, NULL::BIGINT AS ts_ms FROM events")
+_add("decode_json_array", lambda s, d: run("json", _lines(s, d, F.format_string('["%s", [1, 2], %d, null, {"a": 1}, true]', "event_type", "user_id"))).df.select("line_no", F.array_join("tuple", "|").alias("parts")), "SELECT event_id + 1 AS line_no, event_type || '|' || user_id || '|null|true' AS parts FROM events")
+_add("unary_plus", _events("+value", interval="1d"), _wrap(window_sql(EVENTS, "value", LAST, BOTH, DAY, DAY), f"instant, 'value' AS metric, event_type, user_id, {R}"))
+
+# Matching: included labels, more operators, series that match twice.
+_tens = "CASE WHEN regexp_full_match(a.user_id, '[0-9][0-9]') THEN a.user_id[1] || 'x' END"
+_add("join_group_left_include", _events(f'{DAYS} * on (user_id) group_left (tens) label_replace(sum({DAYS}) by (user_id), "tens", "$1x", "user_id", "([0-9])[0-9]")', since=JAN), f"SELECT a.instant, a.event_type, a.user_id, {_tens} AS tens, round(a.value * b.value, 6) AS value FROM ({_sum_day()}) a JOIN ({_total}) b ON {_by_user}")
+_click_n, _view_n = (window_sql(EVENTS, "value", "count(*)::DOUBLE", BOTH, DAY, DAY, f"event_type = '{t}'", JAN) for t in ("click", "view"))
+for _n, _op, _sql in (("mod", "%", "a.value % b.value"), ("pow", "^", "a.value ^ b.value")):
+    _add(f"join_{_n}", _events(f'count_over_time(value{{event_type="click"}}[1d]) {_op} ignoring (event_type) count_over_time(value{{event_type="view"}}[1d])', since=JAN), f"SELECT a.instant, a.user_id, {_sql} AS value FROM ({_click_n}) a JOIN ({_view_n}) b ON {_by_user}")
+
+
+def _failures(spark: SparkSession, cases) -> DataFrame:
+    """(name, failed with): an error class for each case, empty where it runs."""
+    out = []
+    for name, go in cases:
+        try:
+            go()
+            out.append((name, ""))
+        except ProgramError as e:
+            out.append((name, type(e).__name__))
+        except Exception as e:
+            out.append((name, "duplicates" if "match" in str(e) else type(e).__name__))
+    return spark.createDataFrame(out, "name string, failed string")
+
+
+def _duplicates(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda e: lambda: query(e, tables.events(spark, d), since=JAN).df.count()
+    return _failures(spark, (("right", of(f"sum({DAYS}) by (user_id) + on (user_id) {DAYS}")), ("left", of(f"{DAYS} + on (user_id) sum({DAYS}) by (user_id)")), ("none", of(f"{DAYS} + on (user_id, event_type) {DAYS}"))))
+
+
+_add("join_duplicates", _duplicates, "SELECT * FROM (VALUES ('right', 'duplicates'), ('left', 'duplicates'), ('none', '')) v(name, failed)")
+
+_BAD = (
+    ("a field named twice", "json | map { .a as x, .b as x }", "ProgramError"),
+    ("two timestamps", "json | map { .a:ts, .b:ts }", "ProgramError"),
+    ("an empty matcher alone", 'json | map { .a as x } | select {x=""}', "ProgramError"),
+    ("a malformed pattern", 'json | map { .a as x } | select x{y=~"("}', "ProgramError"),
+    ("a look-around", "/(?=a)/", "ProgramError"),
+    ("bool on a number's side only", "json | map { .a as x } | select x + bool x", "KindError"),
+    ("a range in a sum", "json | map { .a as x } | select sum(x[1m])", "KindError"),
+    ("a sign on a range", "json | map { .a as x } | select -x[1m]", "KindError"),
+    ("a sign on a number", "json | map { .a as x } | select -(1 + 2) + x", ""),
+    ("a set of a number", "json | map { .a as x } | select x and 1", "KindError"),
+    ("a comparison of numbers without bool", "json | map { .a as x } | select 1 > 2", "KindError"),
+)
+_add("validation", lambda s, d: _failures(s, [(n, partial(parse_program, p)) for n, p, _ in _BAD] + [("a range that ends before it begins", partial(query, "value", tables.events(s, d), since=2000, until=1000))]), "SELECT * FROM (VALUES " + ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', '{k}')" for n, _, k in (*_BAD, ("a range that ends before it begins", "", "ProgramError"))) + ") v(name, failed)")
+
+# Formatted text, dense over the grid: instants without series show too.
+_RARE = 'count_over_time(value{event_type="purchase",user_id=~"1.?"}[6h])'
+_rare = window_sql(EVENTS, "value", "count(*)", BOTH, HOUR * 6, HOUR * 6, "event_type = 'purchase' AND regexp_full_match(user_id, '1.?')", JAN)
+_grid = f"SELECT {JAN} + {6 * HOUR} - 1 + k * {6 * HOUR} AS instant FROM (SELECT max(ms) AS t1 FROM ({EVENTS}) WHERE event_type = 'purchase' AND regexp_full_match(user_id, '1.?')), range(0, 10000) r(k) WHERE {JAN} - 1 + k * {6 * HOUR} < t1"
+_add("text_human_dense", lambda s, d: _rows(s, query(_RARE, tables.events(s, d), since=JAN).lines(verbose=True)), f"SELECT {CLOCK} || coalesce(chr(9) || '{{event_type=purchase, user_id=' || user_id || '}}' || chr(9) || chr(9) || chr(9) || value, ' <no data>') AS text FROM ({_grid}) LEFT JOIN ({_rare}) USING (instant)")
+_both = f"{_RARE} + {_RARE}"
+_add("text_human_dense_join", lambda s, d: _rows(s, query(_both, tables.events(s, d), since=JAN).lines(verbose=True)), f"SELECT {CLOCK} || coalesce(chr(9) || '{{event_type=purchase, user_id=' || user_id || '}}' || chr(9) || chr(9) || chr(9) || 2 * value, ' <no data>') AS text FROM ({_grid}) LEFT JOIN ({_rare}) USING (instant)")
+_day_kinds = window_sql(LOG_ROWS, "value", "count(*)", ["kind"], DAY, DAY, "TRUE", JAN)
+_item = """'{"metric":{"kind":"' || kind || '"},"value":[' || (instant // 1000) || '.999,"' || value || '"]}'"""
+_add("text_promapi", lambda s, d: _rows(s, run(f"{_LOG} | select sum(count_over_time(amount[1d])) by (kind) | to_promapi", _log(s, d), since=JAN).lines()), f"""SELECT '{{"resultType":"vector","result":[' || string_agg({_item}, ',' ORDER BY kind) || ']}}' AS text FROM ({_day_kinds}) GROUP BY instant""")
+_add("text_json_records", lambda s, d: _rows(s, run(f"{_LOG} | to_json", _log(s, d)).lines()), """SELECT '{"timestamp":' || epoch_us(date_trunc('second', ts)) // 1000 || ',"labels":{"kind":"' || event_type || '","source":"events"},"values":{"amount":' || value || '}}' AS text FROM events""")
+_add("text_human_entries", lambda s, d: _rows(s, run(r"/(\w+) ([0-9]+)[.]/", _log(s, d)).lines(verbose=True)), "SELECT event_id + 1 || ': ' || event_type || chr(9) || regexp_extract(value::VARCHAR, '^[0-9]+') AS text FROM events WHERE value::VARCHAR LIKE '%.%'")
+_add("json_rows", lambda s, d: json_rows(query(f"sum(count_over_time(value[1d])) by (event_type)", tables.events(s, d), since=JAN).value).withColumnRenamed("value", "text"), _wrap(window_sql(EVENTS, "value", "count(*)::DOUBLE", ["event_type"], DAY, DAY, "TRUE", JAN), """'{"instant":' || instant || ',"metric":{"event_type":"' || event_type || '"},"value":' || value || '}' AS text"""))
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files, read to its present end."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    live = from_table(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"), "ts", ["event_type", "user_id"], ["value"], F.col("event_id") + 1)
+    out = stream("count_over_time(value[1h])", live, since=JAN)
+    name = f"s_{uuid.uuid4().hex}"
+    q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+_add("stream_windows", _stream, window_sql(EVENTS, "value", "count(*)::DOUBLE", BOTH, HOUR, HOUR, "TRUE", JAN))

@@ -22,20 +22,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, stdin=sys.stdin, stdout=sys.stdout) -> int:
+def main(argv: list[str] | None = None, stdin=sys.stdin, stdout=sys.stdout, spark=None) -> int:
     a = parser().parse_args(argv)
-    from loglathe.engine import run
+    from loglathe.engine import rejected, run
     from loglathe.session import session
     from loglathe.sources.lines import from_texts, read_lines
 
     try:
-        spark = session()
+        spark = spark or session()
         lines = read_lines(spark, a.files[0]) if a.files else from_texts(spark, stdin)
         for path in a.files[1:]:
             lines = lines.unionAll(read_lines(spark, path))
         result = run(a.program, lines, a.since, a.until, a.interval, a.lookback, a.compat)
         for text in result.lines(a.verbose, a.interactive):
             stdout.write(text + "\n")
+        if a.verbose:
+            for row in rejected(a.program, lines).orderBy("line_no").toLocalIterator():
+                print(f"{row.line_no}: skipped: {row.value}", file=sys.stderr)
     except (ProgramError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

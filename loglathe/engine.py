@@ -69,5 +69,11 @@ def run(program: str, lines: DataFrame, since=None, until=None, interval=None, l
 def query(expression: str, records: Records, since=None, until=None, interval=None, lookback=None, compat: bool = False) -> Result:
     """An expression on records, such as a table's."""
     o = _options(since, until, interval, lookback, compat)
-    own = Records(rec.in_range(records.df, o.since, o.until), records.labels, records.values)
-    return Result(plan(own, parse(expression), o), records.df.sparkSession)
+    return Result(plan(records.within(o.since, o.until), parse(expression), o), records.df.sparkSession)
+
+
+def rejected(program: str, lines: DataFrame) -> DataFrame:
+    """(line_no, value) of the lines that the program's decoder or mapper skips."""
+    p = parse_program(program)
+    taken = rec.decode(lines, p.decoder) if p.fields is None else rec.map_entries(lines, p.decoder, p.fields).df
+    return lines.join(taken.select("line_no"), "line_no", "left_anti")

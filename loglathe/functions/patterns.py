@@ -35,6 +35,15 @@ def whole(pattern: str) -> str:
     return rf"{FLAGS}\A(?:{to_java(pattern)})\z"
 
 
+def around(pattern: str) -> str:
+    """The first match with all that stands before and after it, group 1 the match itself if the pattern has no group."""
+    own = to_java(pattern)
+    own = f"(?:{own})" if groups(pattern) else f"({own})"
+    # Nothing can stand before a match that begins where the text does.
+    before = "" if pattern.startswith("^") and "|" not in pattern else r"\A(?s:.*?)"
+    return rf"{FLAGS}{before}{own}(?s:.*)\z"
+
+
 def groups(pattern: str) -> int:
     """The number of capture groups."""
     n = i = 0

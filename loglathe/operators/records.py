@@ -8,6 +8,7 @@ are skipped, as filters, so they cost no shuffle and reach no later operator.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,13 @@ class Records:
     df: DataFrame
     labels: tuple[str, ...]
     values: tuple[str, ...]
+    #: Makes them anew within (since, until), where the source can do that before it reads.
+    again: Callable[[int | None, int | None], Records] | None = None
+
+    def within(self, since: int | None, until: int | None) -> Records:
+        if self.again is not None:
+            return self.again(since, until)
+        return Records(in_range(self.df, since, until), self.labels, self.values)
 
 
 def _line(lines: DataFrame) -> Column:
@@ -36,11 +44,29 @@ def decode(lines: DataFrame, decoder: Decoder) -> DataFrame:
     """(line_no, value) -> (line_no, tuple ARRAY<STRING>) or, of JSON, with dict MAP<STRING, STRING> too."""
     if decoder.pattern is None:
         return _decode_json(lines)
-    p = patterns.search(decoder.pattern)
     n = patterns.groups(decoder.pattern)
-    line = _line(lines)
-    places = range(1, n + 1) if n else [0]
-    return lines.where(line.rlike(p)).select("line_no", F.array(*[F.regexp_extract(line, p, i) for i in places]).alias("tuple"))
+    return _captures(lines, decoder.pattern, list(range(n or 1))).select("line_no", F.slice("c", 2, n or 1).alias("tuple"))
+
+
+#: Stands between captures; lines that hold it themselves take a slower way.
+_SEAM = "\x01"
+
+
+def _captures(lines: DataFrame, pattern: str, positions: list[int]) -> DataFrame:
+    """(line_no, c): the captures at those positions from place 2 on, of the lines that match; each line is matched once.
+
+    The pattern is replaced by its captures with a seam between, which is split
+    again. A generator drops the other lines: a filter would be pushed below
+    and match a second time.
+    """
+    n, line = patterns.groups(pattern), _line(lines)
+    numbers = [i + 1 for i in positions]
+    joined = F.regexp_replace(line, patterns.around(pattern), "".join(f"{_SEAM}${i}" for i in numbers))
+    p = patterns.search(pattern)
+    slow = F.when(line.rlike(p), F.array(F.lit(""), *[F.regexp_extract(line, p, i if n else 0) for i in numbers]))
+    parts = F.when(F.contains("value", F.lit(_SEAM)), slow).otherwise(F.split(joined, _SEAM, -1))
+    found = F.filter(F.array(parts), lambda c: F.size(c) > len(numbers))
+    return lines.select("line_no", F.explode(found).alias("c"))
 
 
 def _flat(kind: Column) -> Column:
@@ -69,15 +95,16 @@ def _decode_json(lines: DataFrame) -> DataFrame:
 
 
 def map_entries(lines: DataFrame, decoder: Decoder, fields: tuple[Field, ...], since: int | None = None, until: int | None = None) -> Records:
-    """Lines to records; fields are extracted straight from the line, without an array between."""
+    """Lines to records; only the captures that fields use are taken from a line."""
     if decoder.pattern is not None:
-        p, n, line = patterns.search(decoder.pattern), patterns.groups(decoder.pattern), _line(lines)
-        rows = lines.where(line.rlike(p))
+        n = max(patterns.groups(decoder.pattern), 1)
+        used = sorted({f.position for f in fields if f.position is not None and f.position < n}) or [0]
+        rows = _captures(lines, decoder.pattern, used)
 
         def get(f: Field) -> Column:
-            if f.position is None or f.position >= max(n, 1):
+            if f.position not in used:
                 return F.lit(None).cast("string")
-            return F.regexp_extract(line, p, f.position + 1 if n else 0)
+            return F.get("c", used.index(f.position) + 1)
     else:
         rows = _decode_json(lines)
 
@@ -133,11 +160,19 @@ def in_range(df: DataFrame, since: int | None, until: int | None) -> DataFrame:
     return df
 
 
+def _later(a: int | None, b: int | None) -> int | None:
+    return a if b is None else b if a is None else max(a, b)
+
+
+def _sooner(a: int | None, b: int | None) -> int | None:
+    return a if b is None else b if a is None else min(a, b)
+
+
 def from_table(df: DataFrame, ts: str, labels: list[str], values: list[str], line_no: str | Column | None = None, since: int | None = None, until: int | None = None) -> Records:
-    """A structured table as records, without text between; bounds go to the scan as a filter on ``ts``."""
+    """A structured table as records, without text between; bounds go to the scan as a filter on ``ts`` (rows without one don't pass it)."""
     from datetime import datetime, timezone
 
-    kind = df.schema[ts].dataType.simpleString()
+    whole, kind = df, df.schema[ts].dataType.simpleString()
     stamp = F.col(ts).cast("timestamp") if kind != "bigint" else None
     if stamp is not None and kind in ("timestamp_ntz", "date", "timestamp"):
         for bound, late in ((since, False), (until, True)):
@@ -148,5 +183,7 @@ def from_table(df: DataFrame, ts: str, labels: list[str], values: list[str], lin
                     df = df.where((F.col(ts) < edge) if late else (F.col(ts) >= edge))
     ms = F.unix_millis(stamp) if stamp is not None else F.col(ts)
     number = F.lit(None).cast("long") if line_no is None else (F.col(line_no) if isinstance(line_no, str) else line_no).cast("long")
+    given = (ts, labels, values, line_no)
     out = df.select(number.alias("line_no"), ms.alias("ts_ms"), *[F.col(c).cast("string").alias(f"l_{c}") for c in labels], *[F.col(c).cast("double").alias(f"v_{c}") for c in values])
-    return Records(in_range(out, since, until), tuple(labels), tuple(values))
+    exact = kind in ("timestamp", "timestamp_ntz")
+    return Records(out if exact else in_range(out, since, until), tuple(labels), tuple(values), lambda a, b: from_table(whole, *given, _later(since, a), _sooner(until, b)))

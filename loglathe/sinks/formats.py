@@ -144,11 +144,11 @@ def render(value: DataFrame | Records | Vector | float, formatter: str | None, v
     elif formatter == "to_promapi":
         raise ValueError("to_promapi shows vectors and numbers only: add a select")
     elif isinstance(value, Records):
-        for r in value.df.toLocalIterator():
+        for r in value.df.orderBy("line_no").toLocalIterator():
             yield _record_text(value, r, formatter, verbose)
     else:
         df = value if "dict" in value.columns else value.withColumn("dict", F.lit(None).cast("map<string,string>"))
-        for r in df.toLocalIterator():
+        for r in df.orderBy("line_no").toLocalIterator():
             yield _entry(r, formatter, verbose)
 
 

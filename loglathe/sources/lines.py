@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, path: str, separator: str = "\n", dense: bool = True) -> DataFrame:
     """Lines of text files; only ``separator`` ends one.
 
-    Numbers rise in file order. Dense ones count from 1 and need the sizes of
-    the partitions first, which is one narrow pass over the files; others
-    leave gaps between partitions and cost nothing.
+    Dense numbers count from 1 in order of the files' names and of the places
+    there, however the files are split; they need the sizes of the splits
+    first, which is one narrow pass over the files. Others rise within a split
+    only, leave gaps and cost nothing.
     """
-    own = spark.read.option("lineSep", separator).text(path).withColumn("__id", F.monotonically_increasing_id())
+    own = spark.read.option("lineSep", separator).text(path)
+    own = own.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
     if not dense:
-        return own.select((F.col("__id") + 1).alias("line_no"), "value")
-    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    sizes = own.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("p", before.alias("before"))  # a row for each partition of the scan
-    return own.withColumn("p", part).join(starts, "p").select((F.col("before") + row + 1).alias("line_no"), "value")
+        return own.select((F.col("id") + 1).alias("line_no"), "value")
+    sizes = own.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("f", "b", "first", before.alias("before"))  # a row for each split of the files
+    return own.join(starts, ["f", "b"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def from_texts(spark: SparkSession, texts: Iterable[str]) -> DataFrame:

@@ -76,9 +76,92 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_plans_read_few_columns_and_push_filters(spark):
     from loglathe.sources import tables
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     df = query('sum(sum_over_time(l_quantity{l_returnflag="A"}[4w]))', tables.lineitem(spark, SF), since=catalogue.Y1992).df
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "EqualTo(l_returnflag,A)" in plan and "Python" not in plan
+    plan = catalogue.QUERIES["since_until"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in plan and "LessThan(ts,2024-01-15T12:00:00.001)" in plan
+    plan = catalogue.QUERIES["program_regex"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?s:.*)") == 1  # one match a line
+
+
+def test_bounds_of_a_table_add_up(spark):
+    from loglathe.sources import tables
+
+    own = tables.events(spark, SF, since=catalogue.JAN + 5 * catalogue.DAY)
+    narrow = own.within(catalogue.JAN, catalogue.JAN + 6 * catalogue.DAY - 1)
+    got = narrow.df.selectExpr("min(ts_ms)", "max(ts_ms)", "count(*)").first()
+    times = [r.ts_ms for r in tables.events(spark, SF).df.collect()]
+    inside = [t for t in times if catalogue.JAN + 5 * catalogue.DAY <= t < catalogue.JAN + 6 * catalogue.DAY]
+    assert tuple(got) == (min(inside), max(inside), len(inside))
+
+
+@pytest.mark.parametrize("pattern", [r"(b+)(c*)", r"^(a)(.*)", r"a|(b)", r"(x)?b", r"b", r"^a|(c)", r"(.)\s\z", r"(\s)$", r"(a*?)(b)"])
+def test_captures_equal_an_extraction_each(spark, pattern):
+    from pyspark.sql import functions as F
+
+    from loglathe.functions import patterns
+    from loglathe.operators.records import decode
+    from loglathe.plans.program import Decoder
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcx \x01$\\") for _ in range(rng.randrange(9))) for _ in range(150)] + ["", "b", "aab", "ca\nb"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
+    got = {r.line_no: list(r.tuple) for r in decode(df, Decoder(pattern)).collect()}
+    p, n, line = patterns.search(pattern), patterns.groups(pattern), F.concat("value", F.lit("\n"))
+    places = range(1, n + 1) if n else [0]
+    want = df.where(line.rlike(p)).select("line_no", F.array(*[F.regexp_extract(line, p, i) for i in places]).alias("t")).collect()
+    assert got == {r.line_no: list(r.t) for r in want} and got
+
+
+def test_line_numbers_follow_files(spark, tmp_path):
+    from loglathe.sources.lines import read_lines
+
+    for name, n in (("a", 3), ("b", 4000), ("c", 10)):
+        (tmp_path / name).write_text("".join(f"{name} {i} {'x' * 90}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line_no for r in rows] == list(range(1, 4014))
+    assert [r.value.split()[:2] for r in rows] == [[name, str(i)] for name, n in (("a", 3), ("b", 4000), ("c", 10)) for i in range(n)]
+
+
+def test_skipped_lines_show_when_asked(spark, tmp_path, capsys):
+    import io
+
+    from loglathe.cli import main
+
+    (tmp_path / "log").write_text("1 a\nno number\n2 b\n")
+    out = io.StringIO()
+    assert main([r"/^(\d+) (\w+)$/ | map { .0:num as n, .1 as s }", str(tmp_path / "log"), "-v"], stdout=out, spark=spark) == 0
+    assert [x.split(":")[0] for x in out.getvalue().splitlines()] == ["1", "3"]
+    assert capsys.readouterr().err == "2: skipped: no number\n"
+
+
+def test_append_stream_drops_late_rows(spark, tmp_path):
+    """An instant comes out once the watermark has passed it; rows later than that are left out."""
+    from loglathe.streaming.windows import stream
+
+    schema = "ts_ms long, line_no long, l_s string, v_x double"
+    put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(n)))
+    put(0, [(100, 1, "a", 1.0), (900, 2, "a", 2.0), (2500, 3, "b", 4.0)])
+    live = Records(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), ("s",), ("x",))
+    out = stream("sum_over_time(x[1s])", live, 1000, 0)
+
+    def more():
+        q = out.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    more()
+    put(1, [(950, 4, "a", 64.0), (2600, 5, "b", 8.0), (9000, 6, "b", 1.0)])  # 950 is late: 2500 has been seen
+    more()
+    put(2, [(9100, 7, "b", 1.0)])
+    more()
+    got = sorted((r.instant, r.s, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(999, "a", 3.0), (2999, "b", 12.0)]
 
 
 def _values(rows, names):
