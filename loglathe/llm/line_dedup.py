@@ -11,7 +11,8 @@ Lines are compared exactly, through two 64-bit hashes of the three lines.
 
 Defined cases: null text stays null; texts of fewer than three lines with a
 word stay as they are; repeated rows (equal doc_id) are one document and share
-their fate; an empty table gives an empty result; all other columns pass
+their fate; a very long text is split whole within its row; an empty table
+gives an empty result; all other columns pass
 through, whatever their names.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HAS_WORD, fresh, materialise, q
+from .common import HAS_WORD, fresh, materialise, q, release
 
 WINDOW = 3
 
@@ -55,19 +56,22 @@ def _place(doc_id: Column, j: Column) -> Column:
 
 
 def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, th, js: per document the sorted windows that occurred before."""
+    """doc_id, th, js: per document the sorted windows that occurred before; written out."""
     w = windows(docs, width)
     first = w.groupBy("h1", "h2").agg(F.min(_place(F.col("doc_id"), F.col("j"))).alias("first"), F.count(F.lit(1)).alias("n"))
     # Written out, so that the join below reads both sides through exchanges whose hot keys Spark can split.
     first = materialise(first.where(F.col("n") > 1).select("h1", "h2", "first"), "line-firsts")
     later = w.join(first, ["h1", "h2"]).where(_place(F.col("doc_id"), F.col("j")) > F.col("first"))
-    return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("j")).alias("js"))
+    later = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("j")).alias("js"))
+    later = materialise(later, "line-later")
+    release(first)
+    return later
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW, counts: bool = False) -> DataFrame:
     """The documents without later occurrences. ``counts`` adds n_lines and n_removed (long)."""
     th, j_id, j_th, js, kept = fresh(docs, "th", "j_id", "j_th", "js", "kept")
-    later = materialise(later_windows(docs, width).select(F.col("doc_id").alias(j_id), F.col("th").alias(j_th), F.col("js").alias(js)), "line-later")
+    later = later_windows(docs, width).select(F.col("doc_id").alias(j_id), F.col("th").alias(j_th), F.col("js").alias(js))
     # Always by sorted merge: the texts move once, in proportion to the input at every size.
     d = docs.withColumn(th, F.xxhash64(F.col("text")))
     d = d.join(later.hint("merge"), F.col("doc_id").eqNullSafe(q(j_id)) & (q(th) == q(j_th)), "left")

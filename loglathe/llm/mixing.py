@@ -12,8 +12,9 @@ the words taken differ from the target by rounding only. Documents that share
 a place in the seeded order (repeated rows) share what the cut leaves them.
 
 Defined cases: null text counts 0 words; a source without words has target 0;
-an empty table gives an empty result; repeated rows are separate documents;
-other columns of the input play no part.
+an empty table gives an empty result; repeated rows are separate documents; a
+very long text is counted whole within its row; other columns of the input,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialise, q, word_count
+from .common import WORD, fresh, materialise, q, release, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -91,7 +92,9 @@ def plan(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Data
         .select(F.col("source").alias("c_source"), F.col("h").alias("cut_h"), (F.col("left") - F.col("before")).alias("cut_words"), F.col("tie_size").alias("cut_size"))
     )
     out = targets.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left")
-    return materialise(out.select("source", "source_size", "target", "whole", F.coalesce("cut_h", F.lit(-1)).alias("cut_h"), F.coalesce("cut_words", F.lit(0)).alias("cut_words"), F.coalesce("cut_size", F.lit(1)).alias("cut_size")), "mix-plan")
+    out = materialise(out.select("source", "source_size", "target", "whole", F.coalesce("cut_h", F.lit(-1)).alias("cut_h"), F.coalesce("cut_words", F.lit(0)).alias("cut_words"), F.coalesce("cut_size", F.lit(1)).alias("cut_size")), "mix-plan")
+    release(parts, targets)
+    return out
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -122,6 +125,7 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, se
     sized = docs.withColumn(size, word_count(F.col("text"))).withColumn(h, seeded(F.col("doc_id"), seed))
     rows = materialise(sized.select("source", q(size).alias("size"), q(h).alias("h")), "mix-rows")
     p = plan(rows, weights, max_epochs)
+    release(rows)
     names = {c: fresh(sized, "p_" + c)[0] for c in p.columns}
     p = p.select([F.col(c).alias(n) for c, n in names.items()])
     joined = sized.join(p, F.col("source").eqNullSafe(q(names["source"])))

@@ -10,8 +10,8 @@ closes first. The pieces in bins still open when a packer ends are packed once
 more, longest first, by packers that each take over from several of the first.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-separate documents; a very long text is cut, never shortened; an empty table
-gives an empty result; other columns play no part.
+separate documents; a very long text is encoded in parts that meet where no
+ids merge, and cut, never shortened; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations

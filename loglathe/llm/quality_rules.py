@@ -8,7 +8,8 @@ Spark ``CASE WHEN``, so the verdict on all documents runs in the JVM.
 
 Defined cases: null text counts as empty (all statistics 0, base_failed);
 repeated rows get equal verdicts; without labels of both classes the list is
-empty and only the base rule rejects; an empty table gives an empty result;
+empty and only the base rule rejects; a very long text is counted whole, at
+some 100 bytes a word; an empty table gives an empty result;
 other columns pass through ``keep_good`` unchanged.
 """
 

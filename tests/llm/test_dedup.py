@@ -118,10 +118,9 @@ def test_long_texts_are_hashed_whole(vocabulary, monkeypatch):
     rng = random.Random(1)
     words = [rng.choice(vocabulary) for _ in range(900)]
     want = near_dedup.Hashes().shingles(" ".join(words), 4)
+    assert len(near_dedup.Hashes().shingles("a b c d e f g " * 300_000 + "end", 4)) == 8
     monkeypatch.setattr(near_dedup, "AT_ONCE", 7)
     assert (near_dedup.Hashes().shingles("\n".join(words), 4) == want).all()
-    million = near_dedup.Hashes().shingles("a b c d e f g " * 300_000 + "end", 4)
-    assert len(million) == 8
 
 
 def brute_lines(docs):
@@ -209,3 +208,11 @@ def test_mixing(make_docs):
     assert all(abs(words[s] - taken[s]) <= 3 for s in sizes)
     assert mixing.mix(make_docs([])).count() == 0 and mixing.apply_mix(make_docs([])).count() == 0
     assert "Python" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_very_long_texts_native(make_docs):
+    """Half a million lines and three million words in one row."""
+    lines = "\n".join(f"line {i} of it" for i in range(300_000))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(make_docs([(1, lines), (2, "line 7 of it\nline 8 of it\nline 9 of it\nown end")]), counts=True).collect()}
+    assert got[1].text == lines and got[1].n_lines == 300_000 and got[2].text == "own end" and got[2].n_removed == 3
+    assert mixing.mix(make_docs([(1, "w " * 2_000_000), (2, "w")], ["a"])).agg({"size": "sum"}).first()[0] == 2_000_001

@@ -2,6 +2,10 @@
 
 import base64
 import hashlib
+import json
+import random
+import re
+import zlib
 from collections import defaultdict
 from zlib import crc32
 
@@ -145,16 +149,109 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want.fetchall()))
 
 
-def test_pipeline(spark):
+def test_pipeline_equals_brute_force(spark):
+    """run() against plain loops over all documents; of the library only the learned list is taken, and applied by hand."""
+    import hashlib as h
+
     import corpus_pipeline as c
-    from loglathe.llm import line_dedup, mixing, near_dedup, quality_rules
+    from loglathe.llm import quality_rules
     from loglathe.llm.common import table
+    from tokenizers import Tokenizer
+
+    from .test_dedup import brute_components, brute_lines, brute_targets
+    from .test_scoring import brute_stats
 
-    docs = table(spark, SF, "documents")
+    frame = table(spark, SF, "documents")
     assert [n for n, _ in c.STAGES] == ["quality rules", "line dedup", "near dedup", "mixing", "packing"]
-    good = quality_rules.keep_good(docs, table(spark, SF, "labels"))
-    left = near_dedup.drop_near(line_dedup.dedup_lines(good))
-    mixed = mixing.apply_mix(left)
-    assert mixed.columns == docs.columns
+    assert all(f(spark, frame.limit(20), SF).columns == frame.columns for _, f in c.STAGES[:2])
+    rules = quality_rules.learn_from(frame, table(spark, SF, "labels"))
+    docs = {r.doc_id: (r.text, r.source) for r in frame.collect()}
+
+    def good(text):
+        n, chars, symbols, dup, repeat = brute_stats(text)
+        text = text or ""
+        lines, upper, marks = len(text.split("\n")), sum("A" <= x <= "Z" for x in text), sum(x in "!?" for x in text)
+        seen = {"word_length": chars / max(n, 1), "symbol_rate": symbols / max(n, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / max(n, 1), "upper_share": upper / max(chars, 1), "mark_rate": marks / max(n, 1)}
+        bad = any(all(seen[k.feature] >= k.cut if k.at_least else seen[k.feature] <= k.cut for k in rule) for rule in rules)
+        return n >= 50 and 100 * repeat <= 50 * n and not bad
+
+    texts = {i: t for i, (t, _) in docs.items() if good(t)}
+    assert 0 < len(texts) < len(docs)
+    texts = {i: t for (i, _), t in brute_lines(list(texts.items())).items()}
+    root, _ = brute_components(list(texts.items()), 5, 80)
+    texts = {i: t for i, t in texts.items() if root.get(i, i) == i}
+
+    words = {i: [w for w in re.split("[ \t\n\x0b\x0c\r]+", t or "") if w] for i, t in texts.items()}
+    sizes = defaultdict(int)
+    for i, w in words.items():
+        sizes[docs[i][1]] += len(w)
+    mixed = []
+    for source, target in brute_targets(sizes).items():
+        goal = int(target + 0.5)
+        whole = goal // max(sizes[source], 1)
+        left = goal - whole * sizes[source]
+        for i in sorted((i for i in words if docs[i][1] == source), key=lambda i: h.md5(f"mix-1:{i}".encode()).hexdigest()[:15]):
+            taken = min(left, len(words[i]))
+            left -= taken
+            mixed += [(i, texts[i])] * (whole if words[i] else 0)
+            if taken:
+                mixed.append((i, texts[i] if taken == len(words[i]) else " ".join(words[i][:taken])))
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = []
+    for i, t in mixed:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for k, a in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[a : first if k == 0 else a + 1024]
+            want.append((i, k, a, len(part), crc32(np.array(part, "<u4").tobytes())))
     got = c.run(spark, SF).collect()
-    assert sum(r.piece == 0 for r in got) == mixed.count() and {r.doc_id for r in got} == {r.doc_id for r in mixed.collect()}
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        places.sort()
+        assert all(a == sum(n for _, n in places[:k]) for k, (a, _) in enumerate(places)) and sum(n for _, n in places) <= 1024
+    assert len(bins) <= 1.1 * sum(r.length for r in got) / 1024 + 1
+
+
+def test_every_merge_is_what_lower_ranks_give():
+    """The premise of encoding by rank: a merge's bytes, merged by lower ranks, are its two parts."""
+    pytest.importorskip("public_tokenizers")
+    ids = packing.Ids(packing.default_tokenizer())
+    ranks = packing.byte_ranks(ids.tokenizer)
+    names = json.loads(ids.tokenizer.to_str())["model"]["vocab"]
+    name_of, bytes_of = {i: t for t, i in names.items()}, {i: b for b, i in ranks.items()}
+    for a, b in json.loads(ids.tokenizer.to_str())["model"]["merges"]:
+        rank, want = names[a + b], [bytes_of[names[a]], bytes_of[names[b]]]
+        parts = [bytes([x]) for x in bytes_of[rank]]
+        while (best := min((ranks.get(x + y, 1 << 30), k) for k, (x, y) in enumerate(zip(parts, parts[1:]))))[0] < rank:
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            if len(parts) == 1:
+                break
+        assert parts == want, name_of[rank]
+
+
+def test_ids_equal_the_tokenizer(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    ids = packing.Ids(packing.default_tokenizer())
+    rng = random.Random(4)
+    odd = [*"ab1.,'! \n\t\r", "  ", "\n\n", "é", "日", "\x1c", "\x85", "<|endoftext|>", "'s", "'ll", " \n", "n't", "\u0301", "😀"]
+    texts = ["".join(rng.choices(odd, k=rng.randrange(60))) for _ in range(4000)]
+    for at_once in (packing.AT_ONCE, 9):
+        monkeypatch.setattr(packing, "AT_ONCE", at_once)
+        for t in texts:
+            assert ids(t) == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_archives_of_long_pages(spark, monkeypatch):
+    """A page far beyond a file's bytes, in its own file, with memory in proportion to the page."""
+    monkeypatch.setattr(archives, "FILE_BYTES", 1 << 16)
+    long = "long page " * 5_000_000
+    df = spark.createDataFrame([(i, f"u{i}", long if i == 7 else f"page {i % 5} " * 500) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in archives.convert(df, file_bytes=1 << 16).collect()}
+    assert got[7].payload_bytes == 50_000_000 and got[7].payload_digest == base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert sum(r.record_type == "revisit" for r in got.values()) == 40 - 6 and got[39].record_type == "response"
+    zipped = zlib.compress(b"x 0 0 0 5\n12345", wbits=31) * 1  # two members after one another
+    assert archives.Inflated(zipped + zipped).take(99) == b"x 0 0 0 5\n12345" * 2
