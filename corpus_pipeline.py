@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loglathe.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from loglathe.llm.common import materialise, table
+from loglathe.llm.common import materialise, release, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,13 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The learned list, MinHash and the tokenizer are beyond SQL; tests hold run() against brute force.
+#: The learned list and the tokenizer are beyond SQL; a test holds run() against brute force, given the list.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
