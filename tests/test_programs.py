@@ -8,6 +8,7 @@ import pytest
 from loglathe.engine import run
 from loglathe.sources.lines import from_texts
 
+# Programs, lines and texts that must give the same as the tool whose language this is.
 PEOPLE = r'/([^\s]+)\s(\w+)\s(\d+)/ | map {.0:ts "%Y-%m-%dT%H:%M:%S", .1 as name, .2 as age} | select '
 PEOPLE4 = r'/([^\s]+)\s(\w+)\s(\d+)\s(\w+)\s(\w+)/ | map {.0:ts "%Y-%m-%dT%H:%M:%S", .1 as name, .3 as country, .4 as job, .2 as age} | select '
 ACCESS = r'/([^\s]+)[^\[]+\[([^\]]+)]\s+"([^\s]+)[^"]*?"\s+(\d+)\s+(\d+).*/ | map {.1:ts "%d/%b/%Y:%H:%M:%S", .0 as ip, .2 as method, .3 as status_code, .4 as content_length} | select '
