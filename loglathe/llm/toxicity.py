@@ -117,9 +117,9 @@ class Network:
         for a in range(0, len(words), WORDS_AT_ONCE):
             part = words[a : a + WORDS_AT_ONCE]
             grams, share, first = grams_of(part)
-            owner = np.repeat(np.arange(len(part)), np.diff(first))
-            for d in range(CHAR_DIM):
-                x[a : a + len(part), WORD_DIM + d] = np.bincount(owner, share * self.p["char"][grams, d], len(part))
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                x[a + some, WORD_DIM:] = np.add.reduceat(self.p["char"][grams] * share[:, None], first[some])
         return x
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
