@@ -317,15 +317,31 @@ _add("text_human_entries", lambda s, d: _rows(s, run(r"/(\w+) ([0-9]+)[.]/", _lo
 _add("json_rows", lambda s, d: json_rows(query(f"sum(count_over_time(value[1d])) by (event_type)", tables.events(s, d), since=JAN).value).withColumnRenamed("value", "text"), _wrap(window_sql(EVENTS, "value", "count(*)::DOUBLE", ["event_type"], DAY, DAY, "TRUE", JAN), """'{"instant":' || instant || ',"metric":{"event_type":"' || event_type || '"},"value":' || value || '}' AS text"""))
 
 
+#: Windows of all series are state at once: kept on disk, not in the executors' heaps, and not counted row by row.
+_STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, read to its present end."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     live = from_table(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"), "ts", ["event_type", "user_id"], ["value"], F.col("event_id") + 1)
     out = stream("count_over_time(value[1h])", live, since=JAN)
-    name = f"s_{uuid.uuid4().hex}"
-    q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
+    rows = _scratch(spark)
+    # A batch gives all windows so far and replaces what the one before wrote; no row comes to the driver.
+    write = out.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(rows)).outputMode("complete").option("checkpointLocation", _scratch(spark)).trigger(availableNow=True)
+    before = {k: spark.conf.get(k, None) for k in _STATE_ON_DISK}
+    try:
+        for k, x in _STATE_ON_DISK.items():
+            spark.conf.set(k, x)
+        q = write.start()  # takes its own copy of the settings
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(rows)
 
 
 _add("stream_windows", _stream, window_sql(EVENTS, "value", "count(*)::DOUBLE", BOTH, HOUR, HOUR, "TRUE", JAN))

@@ -186,3 +186,11 @@ def test_query_equals_sql(spark, name):
 def test_entry_points(spark):
     assert entry.entry(spark).columns == ["instant", "event_type", "value"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stream_result_stays_off_the_driver(spark):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    df = catalogue.QUERIES["stream_windows"](spark, SF)
+    assert df.inputFiles()  # files, not a table in the driver's memory
+    assert spark.conf.get(provider) == before
