@@ -231,15 +231,15 @@ CLOCK = "strftime(make_timestamp(instant * 1000), '%Y-%m-%dT%H:%M:%S.000')"
 _add("source_text", lambda s, d: read_lines(s, _files(s, d)), f"SELECT event_id + 1 AS line_no, {LOG_TEXT} AS value FROM events")
 
 
-def _rows(spark: SparkSession, texts) -> DataFrame:
+def _rows(texts: DataFrame) -> DataFrame:
     """Formatted text as rows, a line each."""
-    return spark.createDataFrame([(x,) for t in texts for x in t.split("\n")], "text string")
+    return texts.select(F.explode(F.split("text", "\n")).alias("text"))
 
 
 def _cli(spark: SparkSession, d: str) -> DataFrame:
     out = io.StringIO()
     assert main([f"{_LOG} | select sum(count_over_time(amount[1d])) by (kind)", _files(spark, d), "--since", "2024-01-03T00:00:00Z", "--until", "2024-01-09T23:59:59Z", "--interval", "2d"], stdout=out, spark=spark) == 0
-    return _rows(spark, [out.getvalue().rstrip("\n")])
+    return _rows(spark.createDataFrame([(out.getvalue().rstrip("\n"),)], "text string"))  # a line for each kind and instant of a fixed time
 
 
 _counts_by_kind = window_sql(LOG_ROWS, "value", "count(*)", ["kind"], DAY, 2 * DAY, f"ms <= {JAN + 9 * DAY - 1000}", JAN + 2 * DAY)
@@ -306,14 +306,14 @@ _add("validation", lambda s, d: _failures(s, [(n, partial(parse_program, p)) for
 _RARE = 'count_over_time(value{event_type="purchase",user_id=~"1.?"}[6h])'
 _rare = window_sql(EVENTS, "value", "count(*)", BOTH, HOUR * 6, HOUR * 6, "event_type = 'purchase' AND regexp_full_match(user_id, '1.?')", JAN)
 _grid = f"SELECT {JAN} + {6 * HOUR} - 1 + k * {6 * HOUR} AS instant FROM (SELECT max(ms) AS t1 FROM ({EVENTS}) WHERE event_type = 'purchase' AND regexp_full_match(user_id, '1.?')), range(0, 10000) r(k) WHERE {JAN} - 1 + k * {6 * HOUR} < t1"
-_add("text_human_dense", lambda s, d: _rows(s, query(_RARE, tables.events(s, d), since=JAN).lines(verbose=True)), f"SELECT {CLOCK} || coalesce(chr(9) || '{{event_type=purchase, user_id=' || user_id || '}}' || chr(9) || chr(9) || chr(9) || value, ' <no data>') AS text FROM ({_grid}) LEFT JOIN ({_rare}) USING (instant)")
+_add("text_human_dense", lambda s, d: _rows(query(_RARE, tables.events(s, d), since=JAN).text(verbose=True)), f"SELECT {CLOCK} || coalesce(chr(9) || '{{event_type=purchase, user_id=' || user_id || '}}' || chr(9) || chr(9) || chr(9) || value, ' <no data>') AS text FROM ({_grid}) LEFT JOIN ({_rare}) USING (instant)")
 _both = f"{_RARE} + {_RARE}"
-_add("text_human_dense_join", lambda s, d: _rows(s, query(_both, tables.events(s, d), since=JAN).lines(verbose=True)), f"SELECT {CLOCK} || coalesce(chr(9) || '{{event_type=purchase, user_id=' || user_id || '}}' || chr(9) || chr(9) || chr(9) || 2 * value, ' <no data>') AS text FROM ({_grid}) LEFT JOIN ({_rare}) USING (instant)")
+_add("text_human_dense_join", lambda s, d: _rows(query(_both, tables.events(s, d), since=JAN).text(verbose=True)), f"SELECT {CLOCK} || coalesce(chr(9) || '{{event_type=purchase, user_id=' || user_id || '}}' || chr(9) || chr(9) || chr(9) || 2 * value, ' <no data>') AS text FROM ({_grid}) LEFT JOIN ({_rare}) USING (instant)")
 _day_kinds = window_sql(LOG_ROWS, "value", "count(*)", ["kind"], DAY, DAY, "TRUE", JAN)
 _item = """'{"metric":{"kind":"' || kind || '"},"value":[' || (instant // 1000) || '.999,"' || value || '"]}'"""
-_add("text_promapi", lambda s, d: _rows(s, run(f"{_LOG} | select sum(count_over_time(amount[1d])) by (kind) | to_promapi", _log(s, d), since=JAN).lines()), f"""SELECT '{{"resultType":"vector","result":[' || string_agg({_item}, ',' ORDER BY kind) || ']}}' AS text FROM ({_day_kinds}) GROUP BY instant""")
-_add("text_json_records", lambda s, d: _rows(s, run(f"{_LOG} | to_json", _log(s, d)).lines()), """SELECT '{"timestamp":' || epoch_us(date_trunc('second', ts)) // 1000 || ',"labels":{"kind":"' || event_type || '","source":"events"},"values":{"amount":' || value || '}}' AS text FROM events""")
-_add("text_human_entries", lambda s, d: _rows(s, run(r"/(\w+) ([0-9]+)[.]/", _log(s, d)).lines(verbose=True)), "SELECT event_id + 1 || ': ' || event_type || chr(9) || regexp_extract(value::VARCHAR, '^[0-9]+') AS text FROM events WHERE value::VARCHAR LIKE '%.%'")
+_add("text_promapi", lambda s, d: _rows(run(f"{_LOG} | select sum(count_over_time(amount[1d])) by (kind) | to_promapi", _log(s, d), since=JAN).text()), f"""SELECT '{{"resultType":"vector","result":[' || string_agg({_item}, ',' ORDER BY kind) || ']}}' AS text FROM ({_day_kinds}) GROUP BY instant""")
+_add("text_json_records", lambda s, d: _rows(run(f"{_LOG} | to_json", _log(s, d)).text()), """SELECT '{"timestamp":' || epoch_us(date_trunc('second', ts)) // 1000 || ',"labels":{"kind":"' || event_type || '","source":"events"},"values":{"amount":' || value || '}}' AS text FROM events""")
+_add("text_human_entries", lambda s, d: _rows(run(r"/(\w+) ([0-9]+)[.]/", _log(s, d)).text(verbose=True)), "SELECT event_id + 1 || ': ' || event_type || chr(9) || regexp_extract(value::VARCHAR, '^[0-9]+') AS text FROM events WHERE value::VARCHAR LIKE '%.%'")
 _add("json_rows", lambda s, d: json_rows(query(f"sum(count_over_time(value[1d])) by (event_type)", tables.events(s, d), since=JAN).value).withColumnRenamed("value", "text"), _wrap(window_sql(EVENTS, "value", "count(*)::DOUBLE", ["event_type"], DAY, DAY, "TRUE", JAN), """'{"instant":' || instant || ',"metric":{"event_type":"' || event_type || '"},"value":' || value || '}' AS text"""))
 
 

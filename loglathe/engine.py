@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,8 @@ class Result:
     value: DataFrame | Records | Vector | float
     spark: SparkSession
     formatter: str | None = None
+    #: Entries or records made from lines in order, where that is cheaper than to sort them afterwards.
+    in_order: Callable[[], DataFrame | Records] | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -42,8 +44,14 @@ class Result:
         return own.select([F.col(c).alias(c[2:]) if c.startswith("l_") and c[2:] not in fixed else F.col(c) for c in own.columns])
 
     def lines(self, verbose: bool = False, interactive: bool = False) -> Iterator[str]:
-        """Formatted text, a piece for each entry, record or instant; rows stream through the driver."""
-        return formats.render(self.value, self.formatter, verbose, interactive)
+        """Formatted text, a piece for each entry, record or instant; it streams through the driver."""
+        return formats.render(self.in_order() if self.in_order else self.value, self.formatter, verbose, interactive)
+
+    def text(self, verbose: bool = False) -> DataFrame:
+        """The same pieces as a DataFrame (text), made and kept by the executors: for large results."""
+        if isinstance(self.value, float):
+            return self.spark.createDataFrame([(formats.number_text(self.value, self.formatter),)], "text string")
+        return formats.texts(self.in_order() if self.in_order else self.value, self.formatter, verbose)
 
 
 def _options(since, until, interval, lookback, compat: bool) -> Options:
@@ -58,11 +66,14 @@ def run(program: str, lines: DataFrame, since=None, until=None, interval=None, l
     p = parse_program(program)
     o = _options(since, until, interval, lookback, compat)
     spark = lines.sparkSession
-    if p.fields is None:
-        return Result(rec.decode(lines, p.decoder), spark, p.formatter)
-    records = rec.map_entries(lines, p.decoder, p.fields, o.since, o.until)
+
+    def made(rows: DataFrame) -> DataFrame | Records:
+        return rec.decode(rows, p.decoder) if p.fields is None else rec.map_entries(rows, p.decoder, p.fields, o.since, o.until)
+
     if p.query is None:
-        return Result(records, spark, p.formatter)
+        # A sort samples what it sorts: lines before they are decoded, so that each is decoded once.
+        return Result(made(lines), spark, p.formatter, lambda: made(lines.orderBy("line_no")))
+    records = made(lines)
     return Result(plan(records, p.query, o), spark, p.formatter)
 
 

@@ -14,9 +14,8 @@ NUMERIC = r"^[+-]?(?:(?i:infinity|inf|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+
 
 def to_number(text: Column) -> Column:
     """DOUBLE of texts that are numbers in full, else NULL. A cast alone would take ``' 1 '`` and ``1d``."""
-    bare = F.regexp_replace(F.lower(text), r"^\+", "")
-    named = F.when(bare.rlike(r"^(inf|infinity)$"), F.lit(math.inf)).when(bare.rlike(r"^-(inf|infinity)$"), F.lit(-math.inf)).when(bare.rlike(r"^-?nan$"), F.lit(math.nan))
-    return F.when(text.rlike(NUMERIC.replace("$", r"\z")), F.coalesce(named, bare.try_cast("double")))
+    # Of these, a cast knows all but a NaN with a sign.
+    return F.when(text.rlike(NUMERIC.replace("$", r"\z")), F.coalesce(text.try_cast("double"), F.lit(math.nan)))
 
 
 def plain(x: float) -> str:

@@ -14,6 +14,9 @@ from loglathe.errors import ProgramError
 _DIRECTIVES = {"Y": "yyyy", "m": "MM", "d": "dd", "e": "d", "b": "MMM", "B": "MMMM", "H": "HH", "I": "hh", "p": "a", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "T": "HH:mm:ss", "F": "yyyy-MM-dd", "D": "MM/dd/yy", "R": "HH:mm", "%": "'%'"}
 _FRACTION = "[.SSSSSSSSS][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"
 
+#: Formats that a cast to timestamps reads too, with what stands between day and clock.
+_CAST = {"%Y-%m-%dT%H:%M:%S": "T", "%Y-%m-%d %H:%M:%S": " "}
+
 
 def to_pattern(fmt: str) -> tuple[str, bool]:
     """A strftime format as Spark's pattern, and whether it carries an offset."""
@@ -53,7 +56,13 @@ def by_format(text: Column, fmt: str) -> Column:
     pattern, offset = to_pattern(fmt)
     if offset:
         return _millis(F.try_to_timestamp(text, F.lit(pattern)))
-    return _millis(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(pattern + " xx")))
+    slow = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(pattern + " xx"))
+    between = _CAST.get(fmt.replace("%F", "%Y-%m-%d").replace("%T", "%H:%M:%S"))
+    if between is None:
+        return _millis(slow)
+    # A cast reads this shape alike, several times faster; the year 0 it would take too.
+    fits = text.rlike(rf"\A(?!0000)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{between}[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\z")
+    return _millis(F.when(fits, F.concat(text, F.lit("Z")).try_cast("timestamp")).otherwise(slow))
 
 
 def detect(text: Column) -> Column:

@@ -1,17 +1,20 @@
 """Human-readable, JSON and query-API text of results.
 
-Rows come ordered by instant and series through a local iterator, so the
-driver holds one instant at a time. Vectors are dense here: instants without
-rows show as empty vectors.
+Rows are ordered by instant and series, or by line, and the executors write
+their text; a task holds one instant at a time. Vectors are dense here:
+instants without rows show as empty vectors.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from datetime import datetime, timezone
+from functools import lru_cache
 from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -25,16 +28,19 @@ def clock(ms: int) -> str:
     return datetime.fromtimestamp(ms // 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000")
 
 
-def _compact(x: object) -> str:
-    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+_compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
-def instants(v: Vector) -> Iterator[tuple[int, list[Row]]]:
-    """Each instant with its series in label order, empty ones too."""
+#: Names and label sets come again and again.
+_quoted = lru_cache(1024)(_compact)
+_quoted_labels = lru_cache(1024)(lambda pairs: _compact(dict(pairs)))
+
+
+def instants(v: Vector) -> DataFrame:
+    """The grid's instants with their series in label order, empty ones too; the rows of one lie in one partition."""
     own = v.df.withColumn("__signature", signature(v)).withColumnRenamed("instant", "__at")
-    rows = v.grid().join(own, F.col("instant") == F.col("__at"), "left").orderBy("instant", "__signature")
-    for at, group in groupby(rows.toLocalIterator(), key=lambda r: r["instant"]):
-        yield at, [r for r in group if r["__at"] is not None]
+    rows = v.grid().join(own, F.col("instant") == F.col("__at"), "left")
+    return rows.repartitionByRange("instant").sortWithinPartitions("instant", "__signature").drop("__signature")
 
 
 def _labels(v: Vector, r: Row, name: bool = True) -> dict[str, str]:
@@ -100,12 +106,12 @@ def interactive_vector(v: Vector, rows: list[Row], at: int) -> str:
 
 
 def _record(names: Records, r: Row) -> tuple[dict[str, str], dict[str, float]]:
-    pick = lambda prefix, which: {x: r[f"{prefix}{x}"] for x in sorted(which, key=str.encode) if r[f"{prefix}{x}"] is not None}
+    pick = lambda prefix, which: {x: r[prefix + x] for x in which if r[prefix + x] is not None}
     return pick("l_", names.labels), pick("v_", names.values)
 
 
 def _entry(r: Row, formatter: str | None, verbose: bool) -> str:
-    data = r["tuple"] if r["tuple"] is not None else dict(sorted(r["dict"].items(), key=lambda p: p[0].encode()))
+    data = r["tuple"] if r["tuple"] is not None else dict(sorted(dict(r["dict"]).items(), key=lambda p: p[0].encode()))
     if formatter == "to_json":
         return _compact({"line": r["line_no"], "data": data}) if verbose else _compact(data)
     text = "\t".join(data) if isinstance(data, list) else _pairs(data, "\t")
@@ -116,8 +122,8 @@ def _record_text(names: Records, r: Row, formatter: str | None, verbose: bool) -
     labels, values = _record(names, r)
     if formatter == "to_json":
         parts = ([f'"line":{r["line_no"]}'] if verbose else []) + ([f'"timestamp":{r["ts_ms"]}'] if r["ts_ms"] is not None else [])
-        numbers = ",".join(f"{_compact(k)}:{json_number(x)}" for k, x in values.items())
-        return "{" + ",".join([*parts, f'"labels":{_compact(labels)}', f'"values":{{{numbers}}}']) + "}"
+        numbers = ",".join(f"{_quoted(k)}:{json_number(x)}" for k, x in values.items())
+        return "{" + ",".join([*parts, f'"labels":{_quoted_labels(tuple(labels.items()))}', f'"values":{{{numbers}}}']) + "}"
     parts = [clock(r["ts_ms"])] if r["ts_ms"] is not None else []
     parts += [_pairs(labels, "\t")] if labels else []
     parts += [_pairs({k: plain(x) for k, x in values.items()}, "\t")] if values else []
@@ -125,31 +131,71 @@ def _record_text(names: Records, r: Row, formatter: str | None, verbose: bool) -
     return f"{r['line_no']}: {text}" if verbose else text
 
 
-def render(value: DataFrame | Records | Vector | float, formatter: str | None, verbose: bool = False, interactive: bool = False) -> Iterator[str]:
-    """One text for each entry, record, instant or number; empty ones aren't given."""
+#: Characters of text in a batch that goes back to the JVM.
+BATCH = 1 << 20
+
+
+def _batches(texts: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BATCH or len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["text"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["text"])
+
+
+def _by_executors(df: DataFrame, write: Callable[[Iterator[dict]], Iterable[str]]) -> DataFrame:
+    """(text) of each partition's rows, in their order."""
+    # A table's texts may hold bytes that aren't UTF-8; they show as U+FFFD.
+    valid = [F.make_valid_utf8(c).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes]
+    return df.select(valid).mapInArrow(lambda batches: _batches(write(r for b in batches for r in b.to_pylist())), "text string")
+
+
+def texts(value: DataFrame | Records | Vector, formatter: str | None, verbose: bool = False, interactive: bool = False) -> DataFrame:
+    """(text): one for each entry, record or instant, in order; empty ones aren't given."""
     if interactive and formatter:
         raise ValueError("interactive output can't go through a formatter")
     if interactive and not (isinstance(value, Vector) and not value.ranged):
         raise ValueError("interactive output shows instant vectors only")
-    if isinstance(value, float):
-        yield promapi_scalar(value) if formatter == "to_promapi" else plain(value)
-    elif isinstance(value, Vector):
-        for at, rows in instants(value):
+    if isinstance(value, Vector):
+        v = replace(value, df=None, grid=None)  # the names alone go to the executors
+
+        def one(at: int, rows: list[dict]) -> str | None:
             if interactive:
-                yield interactive_vector(value, rows, at)
-                continue
-            text = promapi_vector(value, rows, at) if formatter else human_vector(value, rows, at, verbose)
-            if text:
-                yield text
-    elif formatter == "to_promapi":
+                return interactive_vector(v, rows, at)
+            return promapi_vector(v, rows, at) if formatter else human_vector(v, rows, at, verbose)
+
+        def write(rows: Iterator[dict]) -> Iterator[str]:
+            for at, group in groupby(rows, key=lambda r: r["instant"]):
+                text = one(at, [r for r in group if r["__at"] is not None])
+                if text:
+                    yield text
+
+        return _by_executors(instants(value), write)
+    if formatter == "to_promapi":
         raise ValueError("to_promapi shows vectors and numbers only: add a select")
-    elif isinstance(value, Records):
-        for r in value.df.orderBy("line_no").toLocalIterator():
-            yield _record_text(value, r, formatter, verbose)
-    else:
-        df = value if "dict" in value.columns else value.withColumn("dict", F.lit(None).cast("map<string,string>"))
-        for r in df.orderBy("line_no").toLocalIterator():
-            yield _entry(r, formatter, verbose)
+    if isinstance(value, Records):
+        in_order = lambda which: tuple(sorted(which, key=str.encode))
+        names = Records(None, in_order(value.labels), in_order(value.values))
+        return _by_executors(value.df.orderBy("line_no"), lambda rows: (_record_text(names, r, formatter, verbose) for r in rows))
+    df = value if "dict" in value.columns else value.withColumn("dict", F.lit(None).cast("map<string,string>"))
+    return _by_executors(df.orderBy("line_no"), lambda rows: (_entry(r, formatter, verbose) for r in rows))
+
+
+def number_text(x: float, formatter: str | None) -> str:
+    return promapi_scalar(x) if formatter == "to_promapi" else plain(x)
+
+
+def render(value: DataFrame | Records | Vector | float, formatter: str | None, verbose: bool = False, interactive: bool = False) -> Iterator[str]:
+    """The same texts through the driver, and a number's, in order."""
+    if isinstance(value, float) and not interactive:
+        yield number_text(value, formatter)
+        return
+    for r in texts(value, formatter, verbose, interactive).toLocalIterator():
+        yield r["text"]
 
 
 def json_rows(v: Vector) -> DataFrame:

@@ -120,3 +120,49 @@ def test_command_line(spark, tmp_path):
     assert main([PEOPLE + "max_over_time(__line__[10s]) | to_promapi", str(tmp_path / "log")], stdout=out) == 0
     assert '"3"' in out.getvalue() and '"4"' in out.getvalue()
     assert main(["nonsense"], io.StringIO(""), io.StringIO()) == 1
+
+
+def test_executors_write_the_text(spark):
+    """The text of entries and records is made by tasks, in the lines' order, each line decoded once."""
+    texts = [f"{D1}58 bob {i}" for i in range(5000)]
+    lines = from_texts(spark, texts).repartition(7)
+    entries = run(r"/(\w+) (\d+)$/", lines)
+    records = run(PEOPLE.removesuffix("| select ") + "| to_json", lines)
+    for result, verbose, want in ((entries, True, [f"{i + 1}: bob\t{i}" for i in range(5000)]), (records, False, ['{"timestamp":1609545598000,"labels":{"name":"bob"},"values":{"age":%d.0}}' % i for i in range(5000)])):
+        df = result.text(verbose)
+        assert [r.text for r in df.collect()] == want == list(result.lines(verbose))
+        plan = result.text(verbose)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and plan.count("rangepartitioning") == 1
+        assert plan.index("Generate") < plan.index("Exchange")  # sorted below the decoder
+
+
+def test_text_of_instants_by_executors(spark):
+    result = run(PEOPLE + "sum(age) by(name) | to_promapi", from_texts(spark, A1).repartition(3))
+    want = list(result.lines())
+    assert len(want) == 5 and [r.text for r in result.text().collect()] == want
+    assert [r.text for r in run(PEOPLE + "1 + 2", from_texts(spark, [])).text().collect()] == ["3"]
+
+
+def test_text_that_is_no_utf8(spark):
+    from loglathe.operators.records import Records
+    from loglathe.sinks.formats import render
+
+    df = spark.sql("SELECT 1L AS line_no, 5L AS ts_ms, CAST(unhex('61FF62') AS STRING) AS l_s, 2D AS v_x")
+    assert list(render(Records(df, ("s",), ("x",)), "to_json")) == ['{"timestamp":5,"labels":{"s":"a�b"},"values":{"x":2.0}}']
+
+
+def test_numbers_and_times_read_alike(spark):
+    from pyspark.sql import functions as F
+
+    from loglathe.functions.numbers import to_number
+    from loglathe.functions.times import by_format
+
+    numbers = {"1": 1.0, "+1.5e3": 1500.0, ".5": 0.5, "1.": 1.0, "-Inf": float("-inf"), "+infinity": float("inf"), "inf": float("inf"), "1d": None, " 1": None, "0x1": None, "": None, "NaN": "nan", "-nan": "nan", "+NAN": "nan", "1_0": None}
+    df = spark.createDataFrame([(x,) for x in numbers], "t string")
+    got = {r.t: r.n for r in df.select("t", to_number(F.col("t")).alias("n")).collect()}
+    assert {k: "nan" if v is not None and v != v else v for k, v in got.items()} == numbers
+    times = ["2021-01-01T23:59:58", "2021-02-30T00:00:00", "2021-01-01T24:00:00", "2021-01-01T23:59:60", "0000-01-01T00:00:00", "0001-01-01T00:00:00", "1500-02-29T00:00:00", "12021-01-01T00:00:00", "2021-1-1T00:00:00", "2021-01-01 00:00:00", ""]
+    df = spark.createDataFrame([(x,) for x in times], "t string")
+    slow = F.unix_millis(F.try_to_timestamp(F.concat("t", F.lit(" +0000")), F.lit("yyyy-MM-dd'T'HH:mm:ss xx")))
+    rows = df.select("t", by_format(F.col("t"), "%Y-%m-%dT%H:%M:%S").alias("a"), slow.alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == 1609545598000
