@@ -194,3 +194,9 @@ def test_stream_result_stays_off_the_driver(spark):
     df = catalogue.QUERIES["stream_windows"](spark, SF)
     assert df.inputFiles()  # files, not a table in the driver's memory
     assert spark.conf.get(provider) == before
+
+
+@pytest.mark.parametrize("name", ["text_human_entries", "text_json_records", "text_human_dense", "text_human_dense_join", "text_promapi"])
+def test_texts_stay_off_the_driver(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FileScan parquet" in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
