@@ -217,11 +217,17 @@ def _scratch(spark: SparkSession) -> str:
     return path.toString()
 
 
+#: Lines of a file, so that no task sorts more, however many there are.
+FILE_LINES = 250_000
+
+
 def _files(spark: SparkSession, d: str) -> str:
-    """The log of events as three text files of unequal sizes."""
+    """The log of events as text of unequal sizes: two files, and a folder of files in order for the rest."""
     top, log = _scratch(spark), _log(spark, d)
-    for name, rows in (("a", F.col("line_no") <= 30), ("b", (F.col("line_no") > 30) & (F.col("line_no") <= 700)), ("c", F.col("line_no") > 700)):
-        log.where(rows).coalesce(1).sortWithinPartitions("line_no").select("value").write.text(f"{top}/{name}")
+    rest = F.col("line_no") > 700
+    files = log.where(rest).count() // FILE_LINES + 1
+    for name, rows, n in (("a", F.col("line_no") <= 30, 1), ("b", (F.col("line_no") > 30) & (F.col("line_no") <= 700), 1), ("c", rest, files)):
+        log.where(rows).repartitionByRange(n, "line_no").sortWithinPartitions("line_no").select("value").write.text(f"{top}/{name}")
     return f"{top}/*"
 
 

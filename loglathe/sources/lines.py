@@ -22,8 +22,8 @@ def read_lines(spark: SparkSession, path: str, separator: str = "\n", dense: boo
         return own.select((F.col("id") + 1).alias("line_no"), "value")
     sizes = own.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("f", "b", "first", before.alias("before"))  # a row for each split of the files
-    return own.join(starts, ["f", "b"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
+    starts = sizes.select("f", "b", "first", before.alias("before"))  # a row for each split of the files: lines stay where they are read
+    return own.join(F.broadcast(starts), ["f", "b"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def from_texts(spark: SparkSession, texts: Iterable[str]) -> DataFrame:

@@ -200,3 +200,16 @@ def test_stream_result_stays_off_the_driver(spark):
 def test_texts_stay_off_the_driver(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FileScan parquet" in plan and "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
+def test_log_files_of_bounded_size_are_in_order(spark, monkeypatch):
+    from loglathe.sources.lines import read_lines
+
+    monkeypatch.setattr(catalogue, "FILE_LINES", 50)
+    path = catalogue._files(spark, SF)
+    lines = read_lines(spark, path)
+    files = spark.read.text(path).inputFiles()
+    assert len(files) > 5  # 1,000 lines: no task sorts all
+    assert "SortMergeJoin" not in lines._jdf.queryExecution().executedPlan().toString()
+    want = catalogue._log(spark, SF).orderBy("line_no").collect()
+    assert [(r.line_no, r.value) for r in lines.orderBy("line_no").collect()] == [(r.line_no, r.value) for r in want]
