@@ -213,3 +213,12 @@ def test_log_files_of_bounded_size_are_in_order(spark, monkeypatch):
     assert "SortMergeJoin" not in lines._jdf.queryExecution().executedPlan().toString()
     want = catalogue._log(spark, SF).orderBy("line_no").collect()
     assert [(r.line_no, r.value) for r in lines.orderBy("line_no").collect()] == [(r.line_no, r.value) for r in want]
+
+
+def test_cli_program_over_many_files(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(catalogue, "FILE_LINES", 50)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    want = sorted(r[0] for r in con.execute(catalogue.ORACLES["cli_program"]).fetchall())
+    assert sorted(r.text for r in catalogue.QUERIES["cli_program"](spark, SF).collect()) == want
