@@ -15,6 +15,7 @@ from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -154,6 +155,19 @@ def _by_executors(df: DataFrame, write: Callable[[Iterator[dict]], Iterable[str]
     return df.select(valid).mapInArrow(lambda batches: _batches(write(r for b in batches for r in b.to_pylist())), "text string")
 
 
+def _joined(df: DataFrame, verbose: bool) -> DataFrame:
+    """(text) of a pattern's captures, a batch at once: no row of them becomes a Python object."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pc.binary_join(b.column("tuple").cast(pa.list_(pa.string())), "\t")
+            if verbose:
+                text = pc.binary_join_element_wise(pc.fill_null(b.column("line_no").cast(pa.string()), "None"), text, ": ")
+            yield pa.RecordBatch.from_arrays([text], ["text"])
+
+    return df.select("line_no", "tuple").mapInArrow(write, "text string")
+
+
 def texts(value: DataFrame | Records | Vector, formatter: str | None, verbose: bool = False, interactive: bool = False) -> DataFrame:
     """(text): one for each entry, record or instant, in order; empty ones aren't given."""
     if interactive and formatter:
@@ -181,6 +195,8 @@ def texts(value: DataFrame | Records | Vector, formatter: str | None, verbose: b
         in_order = lambda which: tuple(sorted(which, key=str.encode))
         names = Records(None, in_order(value.labels), in_order(value.values))
         return _by_executors(value.df.orderBy("line_no"), lambda rows: (_record_text(names, r, formatter, verbose) for r in rows))
+    if formatter is None and "dict" not in value.columns:
+        return _joined(value.orderBy("line_no"), verbose)
     df = value if "dict" in value.columns else value.withColumn("dict", F.lit(None).cast("map<string,string>"))
     return _by_executors(df.orderBy("line_no"), lambda rows: (_entry(r, formatter, verbose) for r in rows))
 

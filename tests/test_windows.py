@@ -222,3 +222,17 @@ def test_cli_program_over_many_files(spark, monkeypatch):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
     want = sorted(r[0] for r in con.execute(catalogue.ORACLES["cli_program"]).fetchall())
     assert sorted(r.text for r in catalogue.QUERIES["cli_program"](spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("verbose", [True, False])
+def test_captures_are_joined_without_row_objects(spark, monkeypatch, verbose):
+    from loglathe.engine import run
+    from loglathe.sinks import formats
+
+    lines = [(1, "ab é\tx"), (2, ""), (3, "\x01b"), (4, "c\\b="), (None, "ab")]
+    for pattern in (r"(.)?(b)", r"(.*)", "b"):
+        entries = run(f"/{pattern}/", spark.createDataFrame(lines, "line_no long, value string")).value
+        want = [formats._entry({**r.asDict(), "dict": None}, None, verbose) for r in entries.orderBy("line_no").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(formats, "_entry", None)
+            assert [r.text for r in formats.texts(entries, None, verbose).collect()] == want
